@@ -94,7 +94,7 @@ def put_file(uri: str, data: bytes) -> None:
 
 
 def map_file(uri: str, dtype):
-    """A file of the shared folder as a memory-mapped numpy array.
+    """A file of the shared folder as a memory-mapped numpy array; empty if there is no such file.
 
     A store without local paths is copied to a temporary file first, which is unlinked as soon as it
     is mapped, so nothing stays on the executor's disk.
@@ -103,10 +103,12 @@ def map_file(uri: str, dtype):
 
     path = _local(uri)
     if path is not None:
-        return np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype)
+        return np.memmap(path, dtype=dtype, mode="r") if os.path.exists(path) and os.path.getsize(path) else np.zeros(0, dtype)
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(inner).type == fs.FileType.NotFound:
+        return np.zeros(0, dtype)
     with tempfile.NamedTemporaryFile() as copy, store.open_input_stream(inner) as src:
         while block := src.read(1 << 24):
             copy.write(block)
