@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontaminate import op1_benchmark_decontamination
+from tidemark.llm.fingerprint import op4_document_fingerprints
 from tidemark.llm.language_model import op3_lm_scoring
 from tidemark.llm.mixing import op7_mixing_to_target_weights
 from tidemark.llm.quality import op8_quality_classifier
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_token_id_output": op2_token_id_output,
     "op3_lm_scoring": op3_lm_scoring,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_quality_classifier": op8_quality_classifier,
