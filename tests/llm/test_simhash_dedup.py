@@ -61,7 +61,7 @@ def test_links_of_dense_codes(spark):
             x ^= 1 << int(b)
         codes.add(x)
     codes = sorted(codes | {int(x) for x in rng.integers(0, 1 << 63, 50)})
-    df = spark.createDataFrame([(S._signed(c),) for c in codes], "fp long")
+    df = spark.createDataFrame([(S._signed(c), S._signed(c)) for c in codes], "node long, fp long")
     want = brute_components(codes, codes)
     for rows in (120, 5000):
         edges = S.links(df, group_rows=rows).collect()
@@ -78,6 +78,23 @@ def test_links_of_dense_codes(spark):
         assert [top(c) for c in codes] == want
 
 
+def test_keep_one_finds_near_copies(spark):
+    rng = np.random.default_rng(9)
+    texts, copies = [], []
+    for k in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(60, 300))]
+        texts.append((k, " ".join(words)))
+        if k % 3 == 0:
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.integers(0, len(words))] = "changed"
+            copies.append((1000 + k, " ".join(words)))
+    df = spark.createDataFrame([(*r, None) for r in texts + copies + [(2000, texts[1][1].upper())]], SCHEMA).repartition(5)
+    for rows in (30, 2000):
+        kept = {r.doc_id for r in S.keep_one(df, group_rows=rows).collect()}
+        assert kept >= {k for k, _ in texts}
+        assert 2000 not in kept and len(kept) <= len(texts) + 1
+
+
 def test_keep_one_and_empty(spark):
     data = [(1, "a b c d e f g h", "k"), (2, "a b c d e f g h", None), (2, "a b c d e f g h", None), (3, "other words go here now and on", None), (None, None, None)]
     df = spark.createDataFrame(data, SCHEMA)

@@ -17,6 +17,7 @@ component unless all of it is null. Input columns other than the id and the text
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import graph, kernels, shared
 
 RADIUS = 3
+#: Of documents with 0.8 of their five-word shingles in common, SimHashes of distinct words differ in 4 of
+#: 64 bits on average (deviation 2), and 128-bit SimHashes of the shingles in 19 (deviation 4).
+WORD_RADIUS = 8
+SHINGLE_BITS = 28
 #: Largest group that one task indexes; larger ones are divided by further bits.
 GROUP_ROWS = 2000
 _FAN = 8
@@ -78,7 +83,7 @@ class GrayIndex:
 
     def __init__(self, group: np.ndarray, codes: np.ndarray):
         order = np.lexsort((gray_rank(codes), group))
-        self.codes, group = codes[order], group[order]
+        self.order, self.codes, group = order, codes[order], group[order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # value, shared bits, first child
         low = high = self.codes
         at = group
@@ -136,37 +141,42 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def _star_edges(group: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (code, representative) that connect what is linked within the groups."""
+def _star_edges(group: np.ndarray, node: np.ndarray, codes: np.ndarray, checks: list[np.ndarray], radius: int, check_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, representative) that connect what is linked within the groups."""
     index = GrayIndex(group, codes)
+    node, checks = node[index.order], [c[index.order] for c in checks]
     label = np.arange(len(codes))
     for i, j in index.pairs(radius):
+        if checks:
+            same = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in checks) <= check_bits
+            i, j = i[same], j[same]
         _merge(label, i, j)
     far = np.flatnonzero(label != np.arange(len(codes)))
-    return index.codes[far], index.codes[label[far]]
+    return node[far], node[label[far]]
 
 
-def _index_tasks(rows: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) between fingerprints of the same key; every key has a bounded number of rows."""
+def _index_tasks(rows: DataFrame, radius: int, checks: list[str], check_bits: int) -> DataFrame:
+    """Edges (a, b) between nodes of the same key; every key has a bounded number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(key: np.ndarray, code: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if len(code) > 1:
-                a, b = _star_edges(key, code, radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
-        key, code = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        def edges(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if len(held[0]) > 1:
+                key, node, *codes = held
+                codes = [c.view(np.uint64) for c in codes]
+                a, b = _star_edges(key, node, codes[0], codes[1:], radius, check_bits)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        held = [np.zeros(0, np.int64) for _ in range(3 + len(checks))]
         for batch in batches:
-            key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False)))
-            code = np.concatenate((code, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(key):
+            held = [np.concatenate((h, batch.column(k).to_numpy(zero_copy_only=False))) for k, h in enumerate(held)]
+            if not len(held[0]):
                 continue
-            done = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            yield from edges(key[:done], code[:done])
-            key, code = key[done:], code[done:]
-        yield from edges(key, code)
+            done = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            yield from edges([h[:done] for h in held])
+            held = [h[done:] for h in held]
+        yield from edges(held)
 
-    return rows.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "node", "fp", *checks).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def _masks(fixed: int, parts: int) -> list[int]:
@@ -179,55 +189,104 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(codes: DataFrame, *, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Edges (a, b) whose connected components are those of all pairs within ``radius``.
+def links(nodes: DataFrame, *, radius: int = RADIUS, equal: int = 1, checks: tuple[str, ...] = (), check_bits: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Edges (a, b) whose connected components are those of all linked pairs of nodes.
 
-    ``codes``: distinct fingerprints, column fp. Not every pair becomes an edge, every connection does.
+    ``nodes``: node (a number), fp, and further fingerprints ``checks``; a link also needs those to differ
+    in at most ``check_bits`` bits together. Nodes meet under each choice of ``equal`` out of
+    ``radius`` + ``equal`` blocks of bits. Not every pair becomes an edge, every connection does.
     """
-    spark = codes.sparkSession
-    rows = codes.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed"))
+    spark = nodes.sparkSession
+    columns = ["node", "fp", *checks]
+    rows = nodes.select(*columns, F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed"))
     found, tables, paths = None, [], [0]  # paths: the sets of fixed bits that occur
     while paths:
-        wider = [(_signed(p), _signed(p | m)) for p in paths for m in _masks(p, radius + 1)]
-        masks = F.broadcast(spark.createDataFrame(wider, "fixed long, bits long"))  # radius + 1 rows a path
+        choices = [sum(c) for c in combinations(_masks(0, radius + equal), equal)] if paths == [0] else None
+        wider = [(_signed(p), _signed(p | m)) for p in paths for m in choices or _masks(p, radius + 1)]
+        masks = F.broadcast(spark.createDataFrame(wider, "fixed long, bits long"))  # a few rows a path
         pattern = F.xxhash64("bits", F.col("fp").bitwiseAND(F.col("bits")), "key")
-        level = shared.written(rows.join(masks, "fixed").select("fp", F.col("bits").alias("fixed"), pattern.alias("key")), "patterns")
+        level = rows.join(masks, "fixed").select(*columns, F.col("bits").alias("fixed"), pattern.alias("key"))
         counts = level.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("fixed").alias("fixed"))
         large = shared.written(counts.where((F.col("n") > group_rows) & (F.bit_count("fixed") < 64)), "large")
-        tables += [level, large]
+        tables.append(large)
         paths = [r.fixed & _ALL for r in large.select("fixed").distinct().collect()]
-        edges = _index_tasks(level.join(large.select("key"), "key", "left_anti") if paths else level, radius)
+        edges = shared.written(_index_tasks(level.join(large.select("key"), "key", "left_anti") if paths else level, radius, list(checks), check_bits).distinct(), "links")
         found = edges if found is None else found.unionByName(edges)
         if paths:
-            rows = level.join(large.select("key"), "key", "left_semi")
-    edges = shared.written(found, "links")
+            rows = shared.written(level.join(large.select("key"), "key", "left_semi"), "patterns")
+            tables.append(rows)
     for t in tables:
         shared.drop(t)
-    return edges
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) of every row: component_id is the least id reachable by links."""
     found = shared.written(fingerprints(docs, id_col=id_col, text_col=text_col, size=size), "fingerprints")
     nodes = shared.written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = links(nodes, radius=radius, group_rows=group_rows)
+    edges = links(nodes.select(F.col("fp").alias("node"), "fp"), radius=radius, group_rows=group_rows)
     roots = shared.written(graph.components(edges), "roots")
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = shared.written(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "components")
-    shared.drop(edges)
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` of which one per component stays: that with the least id.
-
-    Of several rows with that same id, one stays if their text is the same, and each distinct text
-    otherwise. Rows without an id are kept.
+def _sign_bits(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each run of ``n`` hashes; 0 for an empty run."""
+    sums = np.zeros((len(n), 64), np.int64)
+    some = n > 0
+    for k in range(0, len(n), 64):  # so that the unpacked bits of a few texts are held at a time
+        part = slice(int(n[:k].sum()), int(n[: k + 64].sum()))
+        bits = np.unpackbits(hashes[part].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        own = n[k : k + 64][some[k : k + 64]]
+        if len(own):
+            sums[k : k + 64][some[k : k + 64]] = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
+    return np.packbits(2 * sums > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def word_fingerprints(texts: list[bytes], size: int = 5) -> np.ndarray:
+    """Three numbers for each text: SimHash of its distinct words, and two of its word shingles."""
+    out = np.zeros((len(texts), 3), np.uint64)
+    for a, b in kernels.blocks(texts):
+        block = kernels.Block(texts[a:b], word_table=kernels.WORDLIKE)
+        words, text, n = block.word_hash(), block.text_of_word(), block.n_words
+        order = np.lexsort((words, text))
+        new = np.concatenate(([True], (words[order][1:] != words[order][:-1]) | (text[order][1:] != text[order][:-1]))) if len(words) else np.zeros(0, bool)
+        out[a:b, 0] = _sign_bits(words[order][new], np.bincount(text[order][new], minlength=b - a))
+        grams = []
+        for k, (first, count) in enumerate(zip(block.first, n)):
+            if count:
+                grams.append(kernels.shingles(words[first : first + count], min(size, int(count))))
+        every = np.concatenate(grams) if grams else words
+        many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
+        out[a:b, 1], out[a:b, 2] = _sign_bits(every, many), _sign_bits(kernels.mix(every ^ np.uint64(0x5851F42D4C957F2D)), many)
+    return out
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = WORD_RADIUS, check_bits: int = SHINGLE_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows of ``docs`` of which one per group of near-duplicates stays: that with the least id.
+
+    Documents are near-duplicates if about 0.8 of their five-word shingles are the same. Then their words
+    differ little, so the index links SimHashes of the distinct words, and a link counts if the SimHashes
+    of the shingles are within ``check_bits`` of 128 bits. Words are letters, digits and non-ASCII
+    characters in lower case. Of several rows with the id that stays, each distinct text stays once. Rows
+    without an id are kept.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, size=size, radius=radius)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    some = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = word_fingerprints(kernels.texts_of(batch.column(1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in codes.T)], names=["node", "fp", "check_a", "check_b"])
+
+    known = docs.where(F.col(id_col).isNotNull())
+    found = shared.written(known.select(id_col, text_col).mapInArrow(run, "node long, fp long, check_a long, check_b long"), "fingerprints")
+    codes = ["fp", "check_a", "check_b"]
+    nodes = shared.written(found.groupBy(*codes).agg(F.min("node").alias("node")), "nodes")
+    edges = links(nodes, radius=radius, equal=2, checks=("check_a", "check_b"), check_bits=check_bits, group_rows=group_rows)
+    far = graph.components(edges).where("node <> root").select(F.col("node").alias("_kept_id"))
+    keep = nodes.select(F.col("node").alias("_kept_id")).join(far, "_kept_id", "left_anti").distinct()
+    some = known.join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi")
     return some.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
 
 
