@@ -19,7 +19,7 @@ def releases(spark: SparkSession, path: str) -> DataFrame:
     payload = spark.read.text(path, wholetext=True)
     kind = f"map<string, array<struct<{_fields(RELEASE)}>>>"
     listed = payload.select(F.explode(F.from_json("value", kind)).alias("vendor", "rows")).select("vendor", F.explode("rows").alias("r"))
-    notes = F.coalesce(F.array_join(F.from_json("r.versionReleaseNotes", "array<string>"), " "), F.col("r.versionReleaseNotes"))
+    notes = F.coalesce(F.array_join(F.from_json("versionReleaseNotes", "array<string>"), " "), F.col("versionReleaseNotes"))
     return listed.select("vendor", "r.*").withColumn("versionReleaseNotes", F.coalesce(notes, F.lit("")))
 
 
