@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1_000_000
 _MULT = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
