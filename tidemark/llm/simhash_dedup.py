@@ -270,8 +270,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Documents are near-duplicates if about 0.8 of their five-word shingles are the same. Then their words
     differ little, so the index links SimHashes of the distinct words, and a link counts if the SimHashes
     of the shingles are within ``check_bits`` of 128 bits. Words are letters, digits and non-ASCII
-    characters in lower case. Of several rows with the id that stays, each distinct text stays once. Rows
-    without an id are kept.
+    characters in lower case. Of several rows with an id that stays, each distinct text stays once; an id
+    goes if any of its rows is a near-duplicate of a row with a smaller id. Rows without an id are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,10 +284,15 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     codes = ["fp", "check_a", "check_b"]
     nodes = shared.written(found.groupBy(*codes).agg(F.min("node").alias("node")), "nodes")
     edges = links(nodes, radius=radius, equal=2, checks=("check_a", "check_b"), check_bits=check_bits, group_rows=group_rows)
-    far = graph.components(edges).where("node <> root").select(F.col("node").alias("_kept_id"))
-    keep = nodes.select(F.col("node").alias("_kept_id")).join(far, "_kept_id", "left_anti").distinct()
-    some = known.join(keep, F.col(id_col) == F.col("_kept_id"), "left_semi")
-    return some.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    far = graph.components(edges).where("node <> root").select(F.col("node").alias("_gone"))
+    # what has the codes of a smaller id goes as well; ids that remain with several rows are few
+    twins = found.join(nodes.select(*codes, F.col("node").alias("_least")), codes).where("node <> _least").select(F.col("node").alias("_gone"))
+    gone = shared.written(far.unionByName(twins).distinct(), "gone")
+    twice = shared.written(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_gone")), "twice")
+    left = known.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    one = left.join(twice, F.col(id_col) == F.col("_gone"), "left_anti")
+    several = left.join(twice, F.col(id_col) == F.col("_gone"), "left_semi").dropDuplicates([id_col, text_col])
+    return one.unionByName(several).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
