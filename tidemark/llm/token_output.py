@@ -18,7 +18,6 @@ the id and the text are not read.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,8 +36,7 @@ ROUNDS = 8
 PAIRS_A_ROUND = 256
 LEAST_PAIRS = 8
 #: Distinct pieces whose ids a worker remembers; then it starts afresh.
-CACHE_PIECES = 700_000
-_ODD_SPACE = re.compile(r"\s | \s|^\s|\s\Z|<\|")
+CACHE_PIECES = 1_600_000
 _HEAD = struct.Struct("<4sIIII")
 _encoders: dict[str, Encoder] = {}
 
@@ -73,55 +71,70 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+    def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
         for k in range(0, len(texts), 256):
-            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
         return out
 
     def _learn(self) -> None:
-        """Ids of the new pieces. Pieces inside a text follow a space; the first of a text is kept with a mark."""
+        """Ids of the new pieces. Pieces inside a text follow a space; the first of a text is kept with a mark.
+
+        A piece that is empty or has white space at an end, or may hold a special token, gets length -1."""
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        inner = [k for k, p in enumerate(new) if p[:1] != " "]
-        ids: list[np.ndarray | None] = [None] * len(new)
-        for s in range(0, len(inner), 4096):
-            part = inner[s : s + 4096]
-            joined = self._whole(["".join(" " + new[k] for k in part)])[0]
-            for k, own in zip(part, np.split(joined, np.flatnonzero(self.opens[joined])[1:]), strict=True):
-                ids[k] = own
-        first = [k for k, p in enumerate(new) if p[:1] == " "]
-        for k, own in zip(first, self._whole([new[k][1:] for k in first])):
-            ids[k] = own
-        flat, n = np.concatenate(ids), len(self.pieces)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        while len(self.flat) < self.used + len(flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        base, n = len(self.pieces) - len(new), len(self.pieces)
         while len(self.at) < n:
             self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.length))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.length[n - len(new) : n] = lengths
-        self.at[n - len(new) : n] = self.used + np.cumsum(lengths) - lengths
-        self.used += len(flat)
+        inner, first = [], []
+        for k, p in enumerate(new):
+            if p.isalpha():
+                inner.append(k)
+                continue
+            bare = p[1:] if p[:1] == " " else p
+            if not bare or bare[0].isspace() or bare[-1].isspace() or "<|" in bare:
+                self.length[base + k] = -1
+            else:
+                (inner if bare is p else first).append(k)
+        for s in range(0, len(inner), 1024):
+            part = inner[s : s + 1024]
+            ids = np.array(self._whole(["".join(" " + new[k] for k in part)])[0], np.uint32)
+            starts = np.flatnonzero(self.opens[ids])
+            self._keep(base, part, ids, np.diff(np.append(starts, len(ids))))
+        known = self._whole([new[k][1:] for k in first])
+        self._keep(base, first, [i for own in known for i in own], [len(own) for own in known])
+
+    def _keep(self, base: int, which: list[int], ids, lengths) -> None:
+        """Store the ids, one after another, of the new pieces of the given numbers."""
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        at, sizes = base + np.array(which, np.int64), np.array(lengths, np.int64)
+        if len(at) != len(sizes):
+            raise ValueError("pieces and tokens do not match")
+        self.length[at] = sizes
+        self.at[at] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
 
     def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has, the end id included."""
         if len(self.pieces) > CACHE_PIECES:
             self.forget()
-        odd = [k for k, t in enumerate(texts) if _ODD_SPACE.search(t)]
-        whole = dict(zip(odd, self._whole([texts[k] for k in odd])))
-        numbers, counts = [], np.zeros(len(texts), np.int64)
+        numbers, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
         get = self.pieces.__getitem__
         for k, t in enumerate(texts):
-            if t and k not in whole:
+            if t:
                 parts = t.split(" ")
                 parts[0] = " " + parts[0]
                 counts[k] = len(parts)
                 numbers.append(np.fromiter(map(get, parts), np.int64, len(parts)))
         self._learn()
-        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        number = np.concatenate(numbers)
         length = self.length[number]
+        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[length < 0])
+        whole = dict(zip(odd.tolist(), (np.array(i, np.uint32) for i in self._whole([texts[k] for k in odd]))))
+        length = np.maximum(length, 0)
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(self.at[number] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
         stop = np.concatenate(([0], ends))[np.cumsum(counts)]
@@ -152,11 +165,14 @@ def _pair_counts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def repair(ids: np.ndarray, first_symbol: int, *, rounds: int = ROUNDS, pairs_a_round: int = PAIRS_A_ROUND, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray]:
     """Rules (left, right) of the nonterminals from ``first_symbol`` on, and the replaced sequence."""
-    sequence, rules, symbol = ids.astype(np.uint64), [], first_symbol
+    small = max(first_symbol, int(ids.max(initial=0)) + 1) + rounds * pairs_a_round <= 1 << 16
+    kind, half = (np.uint32, 16) if small else (np.uint64, 32)  # a pair in one number
+    shift, low = kind(half), kind((1 << half) - 1)
+    sequence, rules, symbol = ids.astype(kind), [], first_symbol
     for _ in range(rounds):
         if len(sequence) < 2:
             break
-        pairs = sequence[:-1] << np.uint64(32) | sequence[1:]
+        pairs = sequence[:-1] << shift | sequence[1:]
         kinds, counts = _pair_counts(pairs)
         often = np.flatnonzero(counts >= least)
         if not len(often):
@@ -164,8 +180,8 @@ def repair(ids: np.ndarray, first_symbol: int, *, rounds: int = ROUNDS, pairs_a_
         chosen = often[np.lexsort((kinds[often], -counts[often]))[:pairs_a_round]]
         chosen = np.sort(kinds[chosen])
         left, right = np.zeros(symbol, bool), np.zeros(symbol, bool)
-        left[chosen >> np.uint64(32)] = True
-        right[chosen & np.uint64(0xFFFFFFFF)] = True
+        left[chosen >> shift] = True
+        right[chosen & low] = True
         maybe = np.flatnonzero(left[sequence[:-1]] & right[sequence[1:]])
         at = np.searchsorted(chosen, pairs[maybe])
         at[at == len(chosen)] = 0
@@ -173,13 +189,14 @@ def repair(ids: np.ndarray, first_symbol: int, *, rounds: int = ROUNDS, pairs_a_
         maybe, at = maybe[hit], at[hit]
         # of neighbouring places that overlap, every other one is taken
         new = np.concatenate(([True], np.diff(maybe) > 1))
-        inside = np.arange(len(maybe)) - np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(maybe))))
+        first = np.flatnonzero(new)
+        inside = np.arange(len(maybe)) - np.repeat(first, np.diff(np.append(first, len(maybe))))
         maybe, at = maybe[inside % 2 == 0], at[inside % 2 == 0]
-        sequence[maybe] = np.uint64(symbol) + at.astype(np.uint64)
+        sequence[maybe] = (symbol + at).astype(kind)
         keep = np.ones(len(sequence), bool)
         keep[maybe + 1] = False
         sequence = sequence[keep]
-        rules.append(np.stack((chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)), axis=1))
+        rules.append(np.stack((chosen >> shift, chosen & low), axis=1))
         symbol += len(chosen)
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)).astype(np.uint32), sequence.astype(np.uint32)
 
@@ -189,6 +206,7 @@ class Grammar:
 
     def __init__(self, first_symbol: int, rules: np.ndarray, lengths: np.ndarray, sequence: np.ndarray):
         self.first_symbol, self.rules, self.lengths, self.sequence = first_symbol, rules, lengths, sequence
+        self._expanded: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def of(cls, ids: np.ndarray, first_symbol: int, **how) -> Grammar:
@@ -211,24 +229,37 @@ class Grammar:
         return cls(first_symbol, body[: 2 * n_rules].reshape(-1, 2), body[2 * n_rules : 3 * n_rules], body[3 * n_rules : 3 * n_rules + n])
 
     def _sizes(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = np.ones(len(symbols), np.int64)
-        above = symbols >= self.first_symbol
-        sizes[above] = self.lengths[symbols[above] - self.first_symbol]
-        return sizes
+        return self._table()[1][np.maximum(symbols.astype(np.int64) - self.first_symbol + 1, 0)]
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terminals of all rules one after another, and length and start of each; the first is a terminal's own."""
+        if self._expanded is None:
+            lengths = np.concatenate(([1], self.lengths.astype(np.int64)))
+            starts = np.cumsum(lengths) - lengths
+            flat = np.zeros(int(lengths.sum()), np.uint32)
+            for k, (left, right) in enumerate(self.rules.tolist()):
+                at = int(starts[k + 1])
+                for symbol in (left, right):
+                    if symbol < self.first_symbol:
+                        flat[at] = symbol
+                        at += 1
+                    else:
+                        n, own = int(lengths[symbol - self.first_symbol + 1]), int(starts[symbol - self.first_symbol + 1])
+                        flat[at : at + n] = flat[own : own + n]
+                        at += n
+            self._expanded = flat, lengths, starts
+        return self._expanded
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Terminals of some symbols."""
-        while True:
-            above = symbols >= self.first_symbol
-            if not above.any():
-                return symbols
-            n = np.where(above, 2, 1)
-            ends = np.cumsum(n)
-            out = np.empty(int(ends[-1]), np.uint32)
-            out[ends[~above] - 1] = symbols[~above]
-            pair = self.rules[symbols[above] - self.first_symbol]
-            out[ends[above] - 2], out[ends[above] - 1] = pair[:, 0], pair[:, 1]
-            symbols = out
+        flat, lengths, starts = self._table()
+        rule = np.maximum(symbols.astype(np.int64) - self.first_symbol + 1, 0)
+        n = lengths[rule]
+        ends = np.cumsum(n)
+        out = flat[np.repeat(starts[rule] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        single = rule == 0
+        out[ends[single] - 1] = symbols[single]
+        return out
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Token ids from ``start`` up to ``stop``, expanding only the symbols that cover them."""
