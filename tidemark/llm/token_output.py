@@ -9,7 +9,7 @@ symbols that cover it. Blocks are rows of a Parquet table, so Spark's commit pro
 
 Tokenising: texts are cut before single spaces that stand between two other characters; there a
 byte-level BPE cuts anyway, so each distinct piece is tokenised once and its ids are remembered in a
-bounded cache. Texts with runs of white space at a space, or with special tokens, are tokenised whole.
+bounded cache (plain words without another look for cuts). Texts with runs of white space at a space, or with special tokens, are tokenised whole.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows without an id come first;
 rows with the same id are ordered by their text; an empty table gives an empty output. Columns besides
@@ -53,13 +53,30 @@ class _Pieces(dict):
         return n
 
 
+def _cut_word(piece: str) -> str | None:
+    """A word, or words with a mark or the end of a line between, the BPE's cuts marked; None if it is not so plain."""
+    if piece.isalpha():
+        return piece
+    if piece[-1:] in (",", ".") and piece[:-1].isalpha():
+        return f"{piece[:-1]}\x01{piece[-1]}"
+    before, mark, after = piece.partition(".\n")
+    return f"{before}\x01.\x01\n\x01{after}" if mark and before.isalpha() and after.isalpha() else None
+
+
 class Encoder:
     """Token ids of texts by a byte-level BPE of the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.cut_words = Tokenizer(self.tokenizer.model)  # the same BPE for text that is cut at spaces already
+        self.cut_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # how a byte-level BPE writes bytes: printable Latin-1 characters as they are, others from U+0100 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.letters = {b: b if b in printable else next(rest) for b in range(256)}
+        self.letters |= {32: " Ġ", 1: " "}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
@@ -87,21 +104,25 @@ class Encoder:
         base, n = len(self.pieces) - len(new), len(self.pieces)
         while len(self.at) < n:
             self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.length))
-        inner, first = [], []
+        letters, inner, first = [], [], []
         for k, p in enumerate(new):
-            if p.isalpha():
-                inner.append(k)
+            if word := _cut_word(p):
+                letters.append((k, word))
                 continue
             bare = p[1:] if p[:1] == " " else p
             if not bare or bare[0].isspace() or bare[-1].isspace() or "<|" in bare:
                 self.length[base + k] = -1
             else:
                 (inner if bare is p else first).append(k)
-        for s in range(0, len(inner), 1024):
-            part = inner[s : s + 1024]
-            ids = np.array(self._whole(["".join(" " + new[k] for k in part)])[0], np.uint32)
-            starts = np.flatnonzero(self.opens[ids])
-            self._keep(base, part, ids, np.diff(np.append(starts, len(ids))))
+        for which, tokenizer in ((letters, self.cut_words), ([(k, new[k]) for k in inner], self.tokenizer)):
+            for s in range(0, len(which), 1024):
+                part = which[s : s + 1024]
+                joined = "".join(" " + p for _, p in part)
+                if tokenizer is self.cut_words:
+                    joined = joined.encode().decode("latin-1").translate(self.letters)
+                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+                starts = np.flatnonzero(self.opens[ids])
+                self._keep(base, [k for k, _ in part], ids, np.diff(np.append(starts, len(ids))))
         known = self._whole([new[k][1:] for k in first])
         self._keep(base, first, [i for own in known for i in own], [len(own) for own in known])
 
