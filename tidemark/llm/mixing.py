@@ -26,8 +26,8 @@ from tidemark.llm import shared
 SAMPLE_ROWS = 10_000
 WORDS_A_DOMAIN = 40
 LEAST_DOCUMENTS = 5
-#: Least G statistic of a word's table of domain and presence; by chance one of ten million words has it.
-LEAST_G = 30
+#: Least G statistic of a feature's table of domain and presence; by chance one of a million words has it.
+LEAST_G = 24
 #: A word counts if the share of documents with it is so many times as high inside a domain as outside.
 LEAST_LIFT = 8
 #: Documents that a feature's share over all domains counts for in each domain.
@@ -60,6 +60,13 @@ def _describe(docs: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_tokens", F.size("_words").cast("double")).withColumn("_marks", marks).drop("_words")
 
 
+def _g(inside: int, outside: int, of_inside: int, of_outside: int) -> float:
+    """G statistic of how often a feature occurs inside and outside a domain."""
+    share = (inside + outside) / max(of_inside + of_outside, 1)
+    cells = [(inside, of_inside * share), (of_inside - inside, of_inside * (1 - share)), (outside, of_outside * share), (of_outside - outside, of_outside * (1 - share))]
+    return 2 * sum(n * math.log(n / e) for n, e in cells if n > 0 and e > 0)
+
+
 def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, words_a_domain: int = WORDS_A_DOMAIN) -> dict[str, list[float]]:
     """Log weights for each domain of each feature of the model; the feature "" has the constants."""
     known = labelled.select(F.col(id_col).alias("_id"), "domain").where(F.col("domain").isin(domains) & F.col("_id").isNotNull())
@@ -70,7 +77,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str
     names = [f"n{k}" for k in range(len(domains))]
     marks = {r.feature: [r[n] for n in names] for r in counts.where(F.col("feature").startswith(_MARK)).collect()}
     size = marks.pop(f"{_MARK}all", [0] * len(domains))
-    chosen = dict(marks)
+    chosen = {m: seen for m, seen in marks.items() if max((_g(n, sum(seen) - n, s, sum(size) - s) for n, s in zip(seen, size)), default=0.0) >= LEAST_G}
     for k, n in enumerate(names):
         rest = sum((F.col(m) for m in names if m != n), F.lit(0))
         inside, outside = F.col(n) / max(size[k], 1), rest / max(sum(size) - size[k], 1)
@@ -85,7 +92,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: list[str], *, id_col: str
     for feature, seen in sorted(chosen.items()):
         pooled = (sum(seen) + 0.5) / (sum(size) + 1)  # else what is rare would speak for the smallest domain
         present = [(n + SMOOTHING * pooled) / (s + SMOOTHING) for n, s in zip(seen, size)]
-        if feature.startswith(_MARK):  # one bin of a statistic always holds
+        if feature.startswith(_MARK):  # of a statistic one bin holds, or one that says nothing
             model[feature] = [math.log(p) for p in present]
         else:
             model[feature] = [math.log(p / (1 - p)) for p in present]
@@ -185,6 +192,13 @@ def fit_rates(members: DataFrame, weights: list[float], *, rounds: int = ROUNDS,
     return steps
 
 
+def _mean_rate(members: DataFrame, steps: list[list[float]], wanted: list[int]) -> float:
+    """Mean rate of the expected tokens of the wanted domains; 1 where they get none."""
+    share = sum((F.col("_p")[k] for k in wanted), F.lit(0.0)) * F.col("_tokens")
+    got, all_tokens = members.withColumn("_x", _rate(steps)).agg(F.sum(share * F.col("_x")), F.sum(share)).first()
+    return got / all_tokens if got and all_tokens else 1.0
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, **how) -> DataFrame:
     """doc_id, n_tokens, p_<domain> and rate for every row of ``docs``."""
     domains = sorted(targets)
@@ -199,8 +213,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_col: str = "doc_id", text_col: str = "text", nearest: bool = False, rounds: int = ROUNDS, **how) -> DataFrame:
     """The rows of ``docs`` as often as their rates say, all columns unchanged.
 
-    A rate's fraction becomes a whole copy by a hash of the row, or with ``nearest`` by rounding, which
-    leaves every row alone whose rate is near 1.
+    A rate's fraction becomes a whole copy by a hash of the row, or with ``nearest`` by rounding the rate
+    in relation to the mean rate of the wanted domains' tokens: that leaves alone every row that is treated
+    like those, even where vague posteriors lower all rates. The weights do not depend on the scale.
     """
     domains = sorted(targets)
     model = fit(docs, labelled, domains, id_col=id_col, text_col=text_col, **how)
@@ -210,9 +225,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], *, id_c
     members = posteriors(inner, model, text_col="_text").select(F.inline(F.array(F.struct("_row", "_p"))))
     small = shared.written(posteriors(docs.select(F.col(text_col).alias("_text")), model, text_col="_text").select("_tokens", "_p"), "members")
     steps = fit_rates(small, [targets[d] for d in domains], rounds=rounds)
+    scale = _mean_rate(small, steps, [k for k, d in enumerate(domains) if targets[d] > 0]) if nearest else 1.0
     shared.drop(small)
     part = F.lit(0.5) if nearest else F.pmod(F.xxhash64(F.col("_row")[id_col], F.col("_row")[text_col]), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(_rate(steps) + part).cast("int")
+    copies = F.floor(_rate(steps) / scale + part).cast("int")
     many = members.select("_row", copies.alias("_n")).where("_n > 0").select(F.explode(F.array_repeat("_row", F.col("_n"))).alias("_row"))
     return many.select(*(F.col("_row")[c].alias(c) for c in names))
 
