@@ -28,6 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import shared
+
+#: Bytes of all templates up to which they are sent to every task; beyond it pages are joined to them by host.
+BROADCAST_BYTES = 16 << 20
 #: Pages with a token, and tokens in a class, for the class to be valid.
 LEAST_PAGES = 3
 LEAST_TOKENS = 3
@@ -179,6 +183,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """host, and the tokens of its template that are texts. ``pages``: host, id, html."""
     tokens = _occurrences(pages).groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("support").alias("support"), F.bit_xor("vector1").alias("vector1"), F.sum("vector2").alias("vector2"))
+    tokens = shared.written(tokens, "tokens")  # read three times; pages are parsed once for it
     whole = F.max_by("support", F.col("token") == _key("")).alias("pages")
     classes = tokens.groupBy("host", "support", "vector1", "vector2").agg(F.count(F.lit(1)).alias("size"))
     hosts = tokens.groupBy("host").agg(whole)
@@ -191,7 +196,10 @@ def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_tokens:
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    found = templates(rows.select("host", "page_id", "html"))
+    found = shared.written(templates(rows.select("host", "page_id", "html")), "templates")
+    size = found.agg(F.sum(8 * F.size("template") + F.length("host") + 32)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        found = F.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, frozenset[int]] = {}
