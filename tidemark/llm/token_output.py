@@ -36,7 +36,7 @@ ROUNDS = 8
 PAIRS_A_ROUND = 256
 LEAST_PAIRS = 8
 #: Distinct pieces whose ids a worker remembers; then it starts afresh.
-CACHE_PIECES = 1_600_000
+CACHE_PIECES = 500_000
 _HEAD = struct.Struct("<4sIIII")
 _encoders: dict[str, Encoder] = {}
 
