@@ -35,7 +35,7 @@ SHINGLE_BITS = 28
 #: Largest group that one task indexes; larger ones are divided by further bits.
 GROUP_ROWS = 2000
 _FAN = 8
-_FRONTIER = 40_000
+_FRONTIER = 8_000
 _ALL = (1 << 64) - 1
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = (np.arange(8, dtype=np.int64) * 256)[None, :]
