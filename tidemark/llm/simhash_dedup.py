@@ -25,13 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import graph, kernels, shared
+from tidemark.llm import graph, kernels, shared, shingle_join
 
 RADIUS = 3
-#: Of documents with 0.8 of their five-word shingles in common, SimHashes of distinct words differ in 4 of
-#: 64 bits on average (deviation 2), and 128-bit SimHashes of the shingles in 19 (deviation 4).
-WORD_RADIUS = 8
-SHINGLE_BITS = 28
 #: Largest group that one task indexes; larger ones are divided by further bits.
 GROUP_ROWS = 2000
 _FAN = 8
@@ -232,60 +228,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _sign_bits(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """SimHash of each run of ``n`` hashes; 0 for an empty run."""
-    sums = np.zeros((len(n), 64), np.int64)
-    some = n > 0
-    for k in range(0, len(n), 64):  # so that the unpacked bits of a few texts are held at a time
-        part = slice(int(n[:k].sum()), int(n[: k + 64].sum()))
-        bits = np.unpackbits(hashes[part].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        own = n[k : k + 64][some[k : k + 64]]
-        if len(own):
-            sums[k : k + 64][some[k : k + 64]] = np.add.reduceat(bits, np.cumsum(own) - own, axis=0, dtype=np.int64)
-    return np.packbits(2 * sums > n[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
-
-
-def word_fingerprints(texts: list[bytes], size: int = 5) -> np.ndarray:
-    """Three numbers for each text: SimHash of its distinct words, and two of its word shingles."""
-    out = np.zeros((len(texts), 3), np.uint64)
-    for a, b in kernels.blocks(texts):
-        block = kernels.Block(texts[a:b], word_table=kernels.WORDLIKE)
-        words, text, n = block.word_hash(), block.text_of_word(), block.n_words
-        order = np.lexsort((words, text))
-        new = np.concatenate(([True], (words[order][1:] != words[order][:-1]) | (text[order][1:] != text[order][:-1]))) if len(words) else np.zeros(0, bool)
-        out[a:b, 0] = _sign_bits(words[order][new], np.bincount(text[order][new], minlength=b - a))
-        grams = []
-        for k, (first, count) in enumerate(zip(block.first, n)):
-            if count:
-                grams.append(kernels.shingles(words[first : first + count], min(size, int(count))))
-        every = np.concatenate(grams) if grams else words
-        many = np.where(n > 0, np.maximum(n - size + 1, 1), 0)
-        out[a:b, 1], out[a:b, 2] = _sign_bits(every, many), _sign_bits(kernels.mix(every ^ np.uint64(0x5851F42D4C957F2D)), many)
-    return out
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = WORD_RADIUS, check_bits: int = SHINGLE_BITS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of ``docs`` of which one per group of near-duplicates stays: that with the least id.
 
-    Documents are near-duplicates if about 0.8 of their five-word shingles are the same. Then their words
-    differ little, so the index links SimHashes of the distinct words, and a link counts if the SimHashes
-    of the shingles are within ``check_bits`` of 128 bits. Words are letters, digits and non-ASCII
-    characters in lower case. Of several rows with an id that stays, each distinct text stays once; an id
-    goes if any of its rows is a near-duplicate of a row with a smaller id. Rows without an id are kept.
+    Documents are near-duplicates if 0.8 or more of their distinct five-word shingles are the same (of all
+    that either has); every such pair is found and verified, see :mod:`tidemark.llm.shingle_join`. Words
+    are letters, digits and non-ASCII characters in lower case. Of several rows with an id that stays, each
+    distinct text stays once; an id goes if any of its rows is a near-duplicate of a row with a smaller id.
+    Rows without an id are kept.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = word_fingerprints(kernels.texts_of(batch.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in codes.T)], names=["node", "fp", "check_a", "check_b"])
-
     known = docs.where(F.col(id_col).isNotNull())
-    found = shared.written(known.select(id_col, text_col).mapInArrow(run, "node long, fp long, check_a long, check_b long"), "fingerprints")
-    codes = ["fp", "check_a", "check_b"]
-    nodes = shared.written(found.groupBy(*codes).agg(F.min("node").alias("node")), "nodes")
-    edges = links(nodes, radius=radius, equal=2, checks=("check_a", "check_b"), check_bits=check_bits, group_rows=group_rows)
+    found = shared.written(shingle_join.fingerprints(known, id_col=id_col, text_col=text_col), "fingerprints")
+    codes = ["fp", "fp2"]
+    others = [c for c in found.columns if c not in ("node", *codes)]
+    least = found.groupBy(*codes).agg(F.min("node").alias("node"), *(F.first(c).alias(c) for c in others))
+    nodes = shared.written(least, "nodes")
+    whole, found = found, shared.written(found.select("node", *codes), "codes")
+    shared.drop(whole)
+    linked = shingle_join.links(known, nodes.drop("prefix"), nodes.select("fp", "n", "prefix"), id_col=id_col, text_col=text_col, group_rows=group_rows)
+    a, b = (nodes.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
+    edges = linked.join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     far = graph.components(edges).where("node <> root").select(F.col("node").alias("_gone"))
-    # what has the codes of a smaller id goes as well; ids that remain with several rows are few
+    # what has the set of a smaller id goes as well; ids that remain with several rows are few
     twins = found.join(nodes.select(*codes, F.col("node").alias("_least")), codes).where("node <> _least").select(F.col("node").alias("_gone"))
     gone = shared.written(far.unionByName(twins).distinct(), "gone")
     twice = shared.written(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_gone")), "twice")
