@@ -43,3 +43,19 @@ def test_contiguous_changes(spark):
     df = spark.createDataFrame(data, SCHEMA).repartition(5)
     for rows in (2, 2000):
         assert {r.doc_id for r in S.keep_one(df, group_rows=rows).collect()} == want
+
+
+def test_templated_texts_and_groups(spark):
+    """Many texts share a long passage: groups are cut into parts, with the same components."""
+    rng = np.random.default_rng(4)
+    shared = [f"s{x}" for x in range(100)]
+    data = [(d, t) for d, t in [(0, None), (1, ""), (2, "!!"), (3, "?"), (4, "?"), (5, "One two"), (6, "one TWO."), (7, "two one")]]
+    for k in range(8, 100):
+        words = shared + [f"w{x}" for x in rng.integers(0, 3000, int(rng.integers(5, 60)))]
+        if rng.random() < 0.3:
+            words[int(rng.integers(0, 100))] = "other"
+        data.append((k, " ".join(words)))
+    want = least_of_components([(d, t or "") for d, t in data])
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    for rows in (10, 2000):
+        assert {r.doc_id for r in S.keep_one(df, group_rows=rows).collect()} == want
