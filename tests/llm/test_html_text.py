@@ -22,6 +22,16 @@ def test_parts_of_a_page():
     assert H.main_text("<article><p>" + "long &amp; " * 100000 + "</p></article>") == " ".join(["long &"] * 100000)
 
 
+def test_names_with_hidden_or_a_menu_word():
+    for own in ('class="overflow-hidden"', 'title="hidden gems"', "data-hidden='0'", 'href="/the-hidden-valley"', 'hidden="false"', 'data-note="display:none"', 'aria-hidden="false"'):
+        assert H.main_text(f"<div {own}><p>a <a {own}>b</a> c</div>") == "a b c", own
+    for own in ("hidden", "HIDDEN", 'class="x" hidden=""', 'hidden="until-found"', "style='color:red; display: none'", "style=display:none", 'aria-hidden="true"'):
+        assert H.main_text(f"<div {own}>no</div><p>yes") == "yes", own
+    main = "<main><h2 id='how-to-search-a-menu'>How</h2><section id='social-navigation'><p>text</p></section><div id='comments'>no</div><div class='share-bar'>no</div><div id='comments-list'>no</div><h3 id='search'>Search</h3></main>"
+    assert H.main_text(main) == "How\ntext\nSearch"
+    assert H.main_text("<div id='site-menu'>no</div><p>yes") == "yes"
+
+
 def test_template_and_slots(spark):
     rows = [page(k, f"<div><p>own text {k}</p><p>more {k}</p></div>") for k in range(9)]
     rows += [page(100 + k, f"<article><h1>T{k}</h1><p>copied</p></article>", "b.example.com") for k in range(6)]

@@ -42,8 +42,9 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: One attribute: its name, and its value in double, single or no quotes.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 #: Elements without content.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that do not break a block.
@@ -55,6 +56,8 @@ _MAIN = frozenset(("article", "main"))
 _BESIDE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice popup promo promotion related reply replies share sharing sidebar site-header social sponsor sponsored subscribe subscription toolbar widget contentinfo complementary search".split()
 )
+#: Elements that are not judged by single words of their ids within the main element.
+_HEADED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _SPLIT_NAME = re.compile(r"[\s_-]+")
 
 
@@ -72,11 +75,24 @@ def _is_beside(name: str, attributes: str, inside_main: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    for match in _NAMES.finditer(attributes):
-        words = (match[1] or match[2] or match[3] or "").lower()
-        if any(w in _BESIDE_WORDS for w in words.split()) or not _BESIDE_WORDS.isdisjoint(_SPLIT_NAME.split(words)):
+    seen = set()
+    for match in _ATTRIBUTE.finditer(attributes):
+        key, value = match[1].lower(), (match[2] or match[3] or match[4] or "").lower()
+        if key in seen:  # of an attribute given twice the first counts
+            continue
+        seen.add(key)
+        if key == "hidden" and value != "false" or key == "aria-hidden" and value == "true" or key == "style" and _NO_DISPLAY.search(value):
+            return True
+        if key not in ("class", "id", "role") or not value:
+            continue
+        made = inside_main and key == "id" and name in _HEADED  # an id made of the words of a heading
+        if made and name != "section":
+            continue
+        if any(w in _BESIDE_WORDS for w in value.split()):
+            return True
+        if not made and not _BESIDE_WORDS.isdisjoint(_SPLIT_NAME.split(value)):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return False
 
 
 def parse(html: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
