@@ -1,5 +1,6 @@
 """The Kneser-Ney model against dictionaries."""
 
+import inspect
 import math
 import re
 import zlib
@@ -83,3 +84,7 @@ def test_empty(spark):
     assert L.score(docs, L.train(docs), F.lit(False)).count() == 0
     some = spark.createDataFrame([(1, "a b", None)], SCHEMA)
     assert L.score(some, L.train(docs), F.lit(False)).first().score == 0.0
+
+
+def test_query_learns_trigrams():
+    assert inspect.signature(L.train).parameters["order"].default == 3

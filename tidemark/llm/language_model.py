@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels, shared
 
-ORDER = 2
+ORDER = 3
 #: n-grams that a task holds before it sends them on.
 PORTION = 1_500_000
 _END_HASH = np.uint64(0x0123456789ABCDEF)
