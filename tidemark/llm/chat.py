@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared
+from tidemark.llm import kernels, shared
 
 #: Turns in a part of a rendered conversation.
 PART_TURNS = 64
@@ -66,7 +66,7 @@ def _local_hashes(turns: DataFrame, kind: str) -> DataFrame:
             arrays = [*(batch.column(k) for k in range(3)), pa.array(np.full(n, task)), pa.array(position), *(pa.array(c.view(np.int64)) for c in columns)]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "role", "text", "task", "position", "hash_a", "hash_b"])
 
-    return turns.mapInArrow(run, f"conv_id {kind}, role string, text string, task long, position long, hash_a long, hash_b long")
+    return turns.mapInArrow(kernels.freed(run), f"conv_id {kind}, role string, text string, task long, position long, hash_a long, hash_b long")
 
 
 def prefixes(turns: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -108,7 +108,7 @@ def _shifted(local: DataFrame, kind: str, carry: dict[int, tuple]) -> DataFrame:
             arrays = [batch.column(0), pa.array(position), batch.column(1), batch.column(2), *(pa.array(x.view(np.int64)) for x in lanes)]
             yield pa.RecordBatch.from_arrays(arrays, names=["conv_id", "position", "role", "text", "hash_a", "hash_b"])
 
-    return local.mapInArrow(run, f"conv_id {kind}, position long, role string, text string, hash_a long, hash_b long")
+    return local.mapInArrow(kernels.freed(run), f"conv_id {kind}, position long, role string, text string, hash_a long, hash_b long")
 
 
 def maximal(turns: DataFrame) -> DataFrame:

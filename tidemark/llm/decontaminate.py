@@ -199,7 +199,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
                 columns += [pa.array([g[k] for g in got], kind) for k, kind in ((2, pa.int64()), (3, pa.int64()), (4, pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        part = docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, similarity double")
+        part = docs.select(id_col, text_col).mapInArrow(kernels.freed(run), f"doc_id {kind}, item_id {item_kind}, start_word long, n_words long, similarity double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -216,7 +216,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                 keep[[t for t, *_ in find(_lowered(batch.column(at)), sent.value)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(kernels.freed(run), docs.schema)
     return docs
 
 

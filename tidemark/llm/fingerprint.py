@@ -251,7 +251,7 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     out_type = to_arrow_type(docs.schema[id_col].dataType)
     dealt = rows.repartition(tasks, "bucket").sortWithinPartitions(F.col("bucket").desc(), "edge", F.col("id").desc_nulls_last(), F.col("text").desc())
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(kernels.freed(run), f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared
+from tidemark.llm import kernels, shared
 
 #: Bytes of all templates up to which they are sent to every task; beyond it pages are joined to them by host.
 BROADCAST_BYTES = 16 << 20
@@ -193,7 +193,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return pages.mapInArrow(run, "host string, token long, is_text long, support long, vector1 long, vector2 long")
+    return pages.mapInArrow(kernels.freed(run), "host string, token long, is_text long, support long, vector1 long, vector2 long")
 
 
 def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -232,7 +232,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     kind = pages.schema[id_col].dataType.simpleString()
     with_template = rows.join(found, "host", "left").select("page_id", "url", "html", "template")
-    return with_template.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return with_template.mapInArrow(kernels.freed(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

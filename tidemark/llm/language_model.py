@@ -196,7 +196,7 @@ def _count_words(docs: DataFrame, buckets: int, path: str) -> DataFrame:
         shared.put_file(f"{path}/words/{b}.count", n.astype("<u8").tobytes())
         return pa.Table.from_batches([_rows([("sizes", b, _numbers([len(kinds), int(n.sum())]))])])
 
-    return docs.mapInArrow(count, _SCHEMA).groupBy("bucket").applyInArrow(add, _SCHEMA)
+    return docs.mapInArrow(kernels.freed(count), _SCHEMA).groupBy("bucket").applyInArrow(add, _SCHEMA)
 
 
 def _send(model: Model, ids: np.ndarray, counts: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def _count_grams(docs: DataFrame, model: Model) -> DataFrame:
         if rows:
             yield flush()
 
-    return docs.mapInArrow(count, _SCHEMA)
+    return docs.mapInArrow(kernels.freed(count), _SCHEMA)
 
 
 def _context_numbers(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -404,7 +404,7 @@ def score(docs: DataFrame, model: Model, held_out, *, id_col: str = "doc_id", te
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return rows.mapInArrow(kernels.freed(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:

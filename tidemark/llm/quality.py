@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = statistics(kernels.texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", *(f"s{k}" for k in range(x.shape[1]))])
 
-    got = np.array(sorted(tuple(r) for r in rows.mapInArrow(run, f"y int, {names}").limit(4 * sample_rows).collect()), np.float64)
+    got = np.array(sorted(tuple(r) for r in rows.mapInArrow(kernels.freed(run), f"y int, {names}").limit(4 * sample_rows).collect()), np.float64)
     if not len(got):
         return fit_trees(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return fit_trees(got[:, 1:].astype(np.float32), got[:, 0])
@@ -208,7 +208,7 @@ def score(docs: DataFrame, trees: Trees, *, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(_crc_mod(id_col, 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(kernels.freed(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, trees: Trees, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -220,7 +220,7 @@ def keep_good(docs: DataFrame, trees: Trees, *, text_col: str = "text", least: f
             p = trees.predict(statistics(kernels.texts_of(batch.column(at))))
             yield batch.filter(pa.array(p >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(kernels.freed(run), docs.schema)
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

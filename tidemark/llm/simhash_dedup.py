@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm import graph, kernels, shared, shingle_join
 
@@ -63,7 +64,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(id_col, text_col).mapInArrow(kernels.freed(run), f"doc_id {kind}, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -172,7 +173,7 @@ def _index_tasks(rows: DataFrame, radius: int, checks: list[str], check_bits: in
             held = [h[done:] for h in held]
         yield from edges(held)
 
-    return rows.select("key", "node", "fp", *checks).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "node", "fp", *checks).repartition("key").sortWithinPartitions("key").mapInArrow(kernels.freed(run), "a long, b long")
 
 
 def _masks(fixed: int, parts: int) -> list[int]:
@@ -228,15 +229,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", group_rows: int = GROUP_ROWS) -> DataFrame:
+def _set_links(nodes: DataFrame, radius: int, group_rows: int) -> DataFrame:
+    """Pairs (a, b) of fp: those that the Gray index connects by the column sim, and equal sims."""
+    same = nodes.groupBy("sim").agg(F.min("fp").alias("first"))
+    linked = links(same.select(F.col("sim").alias("node"), F.col("sim").alias("fp")), radius=radius, group_rows=group_rows)
+    a, b = (same.select(F.col("sim").alias(x), F.col("first").alias(f"{x}_fp")) for x in "ab")
+    far = linked.join(a, "a").join(b, "b").select(F.least("a_fp", "b_fp").alias("a"), F.greatest("a_fp", "b_fp").alias("b"))
+    equal = nodes.join(same, "sim").where("fp <> first").select(F.least("fp", "first").alias("a"), F.greatest("fp", "first").alias("b"))
+    return far.unionByName(equal)
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of ``docs`` of which one per group of near-duplicates stays: that with the least id.
 
     Documents are near-duplicates if 0.8 or more of their distinct five-word shingles are the same (of all
-    that either has); every such pair is found and verified, see :mod:`tidemark.llm.shingle_join`. Words
-    are letters, digits and non-ASCII characters in lower case. Of several rows with an id that stays, each
-    distinct text stays once; an id goes if any of its rows is a near-duplicate of a row with a smaller id.
-    Rows without an id are kept.
+    that either has). The Gray index over the SimHashes of the shingle sets gives the first candidates, an exact
+    join what lies beyond its radius, see :mod:`tidemark.llm.shingle_join`; every link is verified by the whole
+    sets. Words are letters, digits and non-ASCII characters in lower case. Of several rows with an id that
+    stays, each distinct text stays once; an id goes if any of its rows is a near-duplicate of a row with a
+    smaller id. Rows without an id are kept. Ids are numbers; any other type is refused.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids must be whole numbers, not {kind.simpleString()}")
     known = docs.where(F.col(id_col).isNotNull())
     found = shared.written(shingle_join.fingerprints(known, id_col=id_col, text_col=text_col), "fingerprints")
     codes = ["fp", "fp2"]
@@ -245,20 +260,30 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = shared.written(least, "nodes")
     whole, found = found, shared.written(found.select("node", *codes), "codes")
     shared.drop(whole)
-    linked = shingle_join.links(known, nodes.drop("prefix"), nodes.select("fp", "n", "prefix"), id_col=id_col, text_col=text_col, group_rows=group_rows)
+    near = _set_links(nodes.select("fp", "sim"), radius, group_rows)
+    linked = shingle_join.links(known, nodes.drop("prefix", "sim"), nodes.select("fp", "n", "prefix"), near, id_col=id_col, text_col=text_col, group_rows=group_rows)
     a, b = (nodes.select(F.col("fp").alias(x), F.col("node").alias(f"{x}_node")) for x in "ab")
     edges = linked.join(a, "a").join(b, "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    far = graph.components(edges).where("node <> root").select(F.col("node").alias("_gone"))
+    gone_name, id_name = (_free_name(docs, x) for x in ("_gone", "_least"))
+    far = graph.components(edges).where("node <> root").select(F.col("node").alias(gone_name))
     # what has the set of a smaller id goes as well; ids that remain with several rows are few
-    twins = found.join(nodes.select(*codes, F.col("node").alias("_least")), codes).where("node <> _least").select(F.col("node").alias("_gone"))
+    twins = found.join(nodes.select(*codes, F.col("node").alias(id_name)), codes).where(F.col("node") != F.col(id_name)).select(F.col("node").alias(gone_name))
     gone = shared.written(far.unionByName(twins).distinct(), "gone")
-    twice = shared.written(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias("_gone")), "twice")
-    left = known.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    one = left.join(twice, F.col(id_col) == F.col("_gone"), "left_anti")
-    several = left.join(twice, F.col(id_col) == F.col("_gone"), "left_semi").dropDuplicates([id_col, text_col])
+    twice = shared.written(found.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("node").alias(gone_name)), "twice")
+    left = known.join(gone, F.col(id_col) == F.col(gone_name), "left_anti")
+    one = left.join(twice, F.col(id_col) == F.col(gone_name), "left_anti")
+    several = left.join(twice, F.col(id_col) == F.col(gone_name), "left_semi").dropDuplicates([id_col, text_col])
     return one.unionByName(several).unionByName(docs.where(F.col(id_col).isNull()))
 
 
+def _free_name(docs: DataFrame, name: str) -> str:
+    """``name``, longer if a column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id for every row of documents."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

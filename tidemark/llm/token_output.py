@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import shared
+from tidemark.llm import kernels, shared
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
@@ -325,9 +325,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
                     ids, sizes, names = [], [], []
         if held:
             yield block()
+        coder.forget()  # the worker lives on
 
     schema = f"shard long, block long, start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, grammar binary"
-    ordered.mapInArrow(run, schema).write.mode("overwrite").parquet(path)
+    ordered.mapInArrow(kernels.freed(run), schema).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -351,7 +352,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shard", "start", "n_tokens", "ids_crc32"])
 
     spread = blocks.select("shard", "start", "doc_ids", "doc_tokens", "grammar")
-    got = spread.mapInArrow(run, f"doc_id {kind}, shard long, start long, n_tokens long, ids_crc32 long")
+    got = spread.mapInArrow(kernels.freed(run), f"doc_id {kind}, shard long, start long, n_tokens long, ids_crc32 long")
     offsets = F.broadcast(spark.createDataFrame(base, "shard long, before long"))
     return got.join(offsets, "shard").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
