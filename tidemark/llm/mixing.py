@@ -39,7 +39,7 @@ LEAST_G = 12
 LEAST_LIFT = 2
 #: Weight of the squared weights against the log likelihood of all rows.
 PENALTY = 0.1
-ROUNDS = 60
+ROUNDS = 30
 #: Rounds without a gain of a hundredth after which nothing more is expected.
 STALL = 6
 TOLERANCE = 1e-4
