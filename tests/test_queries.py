@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark.plans import oracle, queries
+from tidemark.plans.catalogue import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -27,11 +27,11 @@ def plain(v):
     return v
 
 
-@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n in oracle.SQL])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n in SQL])
 def test_matches_sql(spark, duck, name):
-    df = queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = sorted(repr([plain(r[c]) for c in sorted(df.columns)]) for r in df.collect())
-    cursor = duck.execute(oracle.SQL[name])
+    cursor = duck.execute(SQL[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     want = sorted(repr([plain(r[columns.index(c)]) for c in sorted(columns)]) for r in cursor.fetchall())
@@ -40,9 +40,9 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_but_the_fuzzy_one():
-    assert set(queries.QUERIES) - set(oracle.SQL) == {"vendor_fuzzy"}
+    assert set(QUERIES) - set(SQL) == {"vendor_fuzzy"}
 
 
 def test_queries_tell_classes_apart(spark):
     for name, column in (("categorize_docs", "category"), ("query_type", "kind"), ("task_router", "agent"), ("signal_bucket", "signal"), ("badge_counts", "badge")):
-        assert queries.QUERIES[name](spark, SF).select(column).distinct().count() > 1
+        assert QUERIES[name](spark, SF).select(column).distinct().count() > 1

@@ -90,7 +90,21 @@ def test_recorded_run(spark):
 
 
 def test_dataset_hash():
-    assert len(sinks.dataset_hash(["a", "b"])) == 12 and sinks.dataset_hash(["a", "b"]) != sinks.dataset_hash(["b", "a"])
+    # The ten questions of the recorded run, and its hash.
+    questions = [
+        "G6 Bullet unstable?",
+        "GGUF in latest versions? How to actually install nodes etc in latest versions?",
+        "Updated to kernel 6.19.11 and now desktop doesnt load. Selected the previous version from grub menu and it works now. Should I just wait for the next version and will it fix it? Below is what i got from journalctl",
+        "Updated to kernel 6.19.11 and now desktop doesnt load. Selected the previous version from grub menu and it works now. Should I just wait for the next version and will it fix it? Below is what i got from journalctl",
+        "I can't run Ace-Step 1.5 XL on Comfy!?",
+        "Ollama local model connection broken?",
+        "if you're trying to run gemma 4 with openclaw and everything is broken, here's every bug and workaround i've found",
+        "What to do if phone lost forever, icloud password forgotten, email IS icloud",
+        "Queue limitations - is there a hard limit of 200 - even when I set it higher",
+        "Was a homeassistant mistake ??",
+    ]
+    assert sinks.dataset_hash(questions) == "237950e265eb"
+    assert sinks.dataset_hash(["a", "b"]) != sinks.dataset_hash(["b", "a"])
 
 
 def test_intervals(spark):
@@ -120,7 +134,7 @@ def test_readers(spark, tmp_path):
     docs = readers.release_documents(rows, F.array(F.lit("linux"), F.lit("patch"))).collect()
     assert [(d.title, d.sentiment, d.hits) for d in docs] == [("kernel 6.1", "Negative", 2)]
     feed = spark.createDataFrame([("<rss><channel><item><title>T</title><link>u</link><pubDate>d</pubDate></item></channel></rss>",)], "value string")
-    assert [tuple(r) for r in readers.feed_items(feed).collect()] == [("T", "u", "d")]
+    assert [tuple(r)[:3] for r in readers.feed_items(feed).collect()] == [("T", "u", "d")]
     q = spark.createDataFrame([("1", None, " why ", None, None, "", "g"), ("2", None, None, " ", None, None, None)], readers.QUESTION)
     assert [(r.query, r.ground_truth) for r in readers.questions(q).collect()] == [("why", "g")]
 
@@ -132,3 +146,42 @@ def test_upsert_and_report(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "2")).collect()) == [("a", 1), ("b", 2), ("c", 2)]
     cells = spark.createDataFrame([("s", "mrr", 0.5, 0.1, 3), ("s", "ndcg", None, None, 0)], "system string, metric string, mean double, ci95 double, n long")
     assert sinks.report(cells).first().line == "| s | 0.500 ± 0.100 |  |"
+
+
+def test_order_over_ranges(spark):
+    from tidemark.operators import order
+
+    rows = [((k * 7919) % 1000, k % 5) for k in range(1000)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(7)
+    total, want = 0, {}
+    for n, (i, v) in enumerate(sorted(rows), 1):
+        total += v
+        want[i] = (n, total)
+    got = {r.id: r.seq for r in order.numbered(df, "id", ranges=9).collect()}
+    sums = {r.id: r.s for r in order.running_sum(df, "id", F.col("v"), "s", ranges=9).collect()}
+    assert {i: (got[i], sums[i]) for i in got} == want
+    assert order.numbered(df.limit(0), "id").count() == 0
+
+
+def test_question_blocks(spark):
+    from tidemark.operators import retrieve as R
+
+    rows, asked = spark.range(20).toDF("a"), spark.range(50).select(F.col("id").alias("query_id"), F.lit("x" * 100).alias("t"))
+    assert R.against(rows, asked, most=1000).count() == 1000
+    assert R.against(rows, asked, F.col("a") == F.col("query_id"), most=1000).count() == 20
+
+
+def test_stream_with_late_rows(spark, tmp_path):
+    from tidemark.streaming import memory
+
+    schema = "query_id long, query string, rewritten string, quality double, ts timestamp"
+    rows = lambda hour, n: spark.createDataFrame([(k, "fix", "fix patch", 0.5, f"2026-01-01 {hour:02d}:00:00") for k in range(n)], "query_id long, query string, rewritten string, quality double, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    for k, (hour, n) in enumerate([(5, 2), (9, 3), (10, 1), (4, 7)]):  # the last file is later than the watermark allows
+        rows(hour, n).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "in/*"))
+    query = memory.term_scores(stream, late="1 hour").writeStream.outputMode("append").format("memory").queryName("late_terms").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.term, r.uses) for r in spark.table("late_terms").collect()} <= {("patch", 2), ("patch", 3), ("patch", 1)}
+    batches = memory.start(stream, str(tmp_path / "c2"), str(tmp_path / "parts"))
+    batches.awaitTermination()
+    assert [(r.term, r.uses, round(r.score, 9)) for r in memory.current(spark, str(tmp_path / "parts")).collect()] == [("patch", 13, 2.6)]

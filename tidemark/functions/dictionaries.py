@@ -97,6 +97,7 @@ OTHER_SUBREDDITS = ["techsupport", "sysadmin", "software"]
 SECURITY_WORDS = ["cve", "vulnerability", "exploit", "security", "patch", "advisory", "malware", "virus", "breach", "attack", "threat", "zero-day"]
 DEFECT_WORDS = ["fix", "bug", "error", "issue", "broken", "crash", "fail", "defect", "problem"]
 USABILITY_WORDS = ["update", "new", "release", "feature", "improve", "upgrade", "version", "launch"]
+# Words of a topical title.
 TOPIC_WORDS = ["update", "version", "broken", "fix", "install", "upgrade", "crash", "not working", "after update", "latest", "error", "bug", "fail", "issue", "stopped", "missing", "slow"]
 TIER1 = ["vendor_releases", "releases", "apple_rss", "cisa_kev", "circl_cve", "nvd", "cve"]
 TIER2 = ["vendor_reddit", "reddit_live", "reddit_search", "google_news", "github"]
@@ -129,4 +130,49 @@ MONTHS = [
     ("january", 1), ("jan", 1), ("february", 2), ("feb", 2), ("march", 3), ("mar", 3), ("april", 4), ("apr", 4), ("may", 5), ("june", 6), ("jun", 6), ("july", 7), ("jul", 7),
     ("august", 8), ("aug", 8), ("september", 9), ("sep", 9), ("october", 10), ("oct", 10), ("november", 11), ("nov", 11), ("december", 12), ("dec", 12),
 ]
+# Names of the makers that a vendor stands for.
 CANONICAL = {"linux": ["torvalds", "linux kernel"], "ios": ["apple", "ios"], "macos": ["apple", "macos"], "firefox": ["mozilla", "firefox"], "chrome": ["google", "chrome"]}
+
+# Words that never name a vendor by likeness.
+VENDOR_STOP_WORDS = """
+version text firmware updater arrow maybe server desktop downloads core config plugins software update
+latest release new fix bug issue error crash install upgrade support help question problem using
+after before when how why what where which can will does did has have been some many most all
+any get set run use make take need want know think see look try back first last next same
+other good bad big small free open automattic trash dead broken terrible stupid awful great
+performance behavior recent patch stable unstable security releases fixed bugs community reaction
+feedback negative positive versions offline execute tasks fail fails failing upgrade upgrading upgraded
+issues problems task turning turns
+""".split()
+# Communities and products that hint at a vendor, where nothing in the question names one.
+COMMUNITY_HINTS = {
+    "microsoftedge": "MicrosoftEdge", "androidquestions": "android", "androiddev": "android", "homenetworking": "linux", "homelab": "linux", "aws": "aws", "neovim": "neovim",
+    "linuxquestions": "linux", "sysadmin": "linux", "selfhosted": "linux", "applehelp": "ios", "homeassistant": "homeassistant", "home assistant": "homeassistant",
+    "hass": "homeassistant", "ha": "homeassistant", "hassio": "homeassistant", "fedora": "fedora", "debian": "debian", "ubuntu": "ubuntu", "chrome": "chrome", "firefox": "firefox",
+    "openclaw": "openclaw", "comfyui": "comfyui", "ollama": "ollama", "ollama.ai": "ollama", "ubiquiti": "Ubiquiti", "unifi": "Ubiquiti", "g6": "Ubiquiti", "g6 bullet": "Ubiquiti",
+    "bullet": "Ubiquiti", "udr": "Ubiquiti", "udm": "Ubiquiti", "uap": "Ubiquiti", "edgerouter": "Ubiquiti", "proxmox": "Proxmox", "pfsense": "pfsense", "synology": "Synology",
+    "truenas": "TrueNAS", "opnsense": "OPNsense", "nginx": "nginx", "apache": "apache", "docker": "docker", "comfy": "comfyui", "gguf": "comfyui", "ace-step": "comfyui",
+    "acestep": "comfyui", "queue": "comfyui", "wan2": "comfyui", "flux": "comfyui", "ace step": "comfyui", "wan 2": "comfyui", "nvidia": "nvidia", "nvidia drivers": "nvidia",
+    "zigbee": "homeassistant", "z2m": "homeassistant", "vscode": "vscode", "vs code": "vscode", "wordpress": "Wordpress", "wp": "Wordpress", "git": "git", "github": "github", "python": "python",
+}
+# The communities of a vendor; any other vendor has one of its own name.
+VENDOR_COMMUNITIES = {
+    "linux": ["linux", "linuxquestions", "Fedora", "Ubuntu", "debian"], "ollama": ["ollama", "LocalLLaMA", "openclaw"], "comfyui": ["comfyui"], "openclaw": ["openclaw"], "Ubiquiti": ["Ubiquiti"],
+    "ios": ["applehelp", "ios", "apple"], "macos": ["MacOS", "applehelp"], "windows": ["windows", "techsupport"], "chrome": ["chrome", "chromium"], "homeassistant": ["homeassistant"],
+}
+# Rules of the feeds.
+NEWS_SUFFIX = " software update security"
+NEWS_NEGATIVE = ["vulnerability", "breach", "hack", "exploit", "critical", "attack"]
+RSS_PRODUCTS = ["ios", "macos", "iphone", "ipad", "siri", "apple", "security", "watchos"]
+RSS_NEGATIVE = ["security", "vulnerability", "fix", "patch"]
+SEARCH_NEGATIVE = ["broken", "fix", "issue", "bug", "error", "fail"]
+POST_NEGATIVE = ["broken", "fix", "bug", "error", "fail", "crash", "issue", "unstable"]
+CODE_HOST_STOP = ["what", "when", "where", "which", "latest", "update", "release", "version", "security", "patch", "bug", "fix"]
+DROPPED_CONTEXT = ["exploit", "vulnerability"]
+# Replacements where no model answers; "today" becomes the run's date.
+DATED_EXPANSIONS = [("bugs", "bug fixes resolved defects"), ("latest", "latest version release notes"), ("critical", "critical security vulnerability patch"), ("update", "software update release changelog")]
+RETRY_SUFFIX = " software update release"
+# Request rules.
+LIGHT_STATES = ["ON", "OFF"]
+ROOMS = ["living", "bedroom", "kitchen", "bathroom", "office", "garage"]
+LEAST_PASSWORD = 8

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dictionaries as D
 from tidemark.functions import text as T
+from tidemark.operators import order
 
 
 def quality_floor(results: DataFrame) -> DataFrame:
@@ -55,6 +56,21 @@ def memory_deltas(rows: DataFrame, seq: str, original: Column, rewritten: Column
     return rows.select(seq, F.explode(extra).alias("term"), (quality - neutral).alias("delta"))
 
 
+def class_deltas(rows: DataFrame, seq: str, original: Column, rewritten: Column, quality: Column, *, least: float = 0.15, loss: float = 0.1) -> DataFrame:
+    """seq, term, delta: extra terms gain the quality of a success and lose ``loss`` at a failure.
+
+    A failed question is asked again and judged with the same rewrite, so its terms lose twice."""
+    extra = F.array_except(T.tokens(rewritten), T.tokens(original))
+    good = quality >= least
+    times = F.when(good, F.array(quality)).otherwise(F.array(F.lit(-loss), F.lit(-loss)))
+    return rows.select(seq, F.explode(extra).alias("term"), times.alias("deltas")).select(seq, "term", F.explode("deltas").alias("delta"))
+
+
+def suggested(query: Column, best: Column, most: int = 3) -> Column:
+    """The first ``most`` of the best terms that the question does not contain, joined by spaces."""
+    return F.array_join(F.filter(F.slice(best, 1, most), lambda t: ~F.contains(F.lower(query), t)), " ")
+
+
 def memory_scores(deltas: DataFrame, seq: str) -> DataFrame:
     """The log with the running score of each term."""
     window = Window.partitionBy("term").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
@@ -64,8 +80,8 @@ def memory_scores(deltas: DataFrame, seq: str) -> DataFrame:
 def memory_curve(steps: DataFrame, deltas: DataFrame, seq: str) -> DataFrame:
     """seq, memory_size: distinct terms known after each step."""
     new = deltas.groupBy("term").agg(F.min(seq).alias(seq)).groupBy(seq).agg(F.count(F.lit(1)).alias("new"))
-    window = Window.orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-    return steps.select(seq).join(new, seq, "left").select(seq, F.sum(F.coalesce("new", F.lit(0))).over(window).alias("memory_size"))
+    rows = steps.select(seq).join(new, seq, "left").select(seq, F.coalesce("new", F.lit(0)).cast("long").alias("new"))
+    return order.running_sum(rows, seq, F.col("new"), "memory_size").select(seq, "memory_size")
 
 
 def trending(upvote_ratio: Column, comments: Column, score: Column, topical: Column, recent: Column, no_vendor: Column) -> Column:

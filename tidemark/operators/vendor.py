@@ -43,6 +43,27 @@ def extract_vendor(questions: DataFrame, registry: DataFrame) -> DataFrame:
     return best.withColumn("r", F.row_number().over(window)).where("r = 1").select("query_id", "vendor")
 
 
+def fan_out(vendors: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, vendor, subreddit: the first communities of each question's vendor."""
+    known = F.create_map(*(x for v, subs in D.VENDOR_COMMUNITIES.items() for x in (F.lit(v), F.array(*map(F.lit, subs)))))
+    subs = F.coalesce(F.element_at(known, F.col("vendor")), F.array("vendor"))
+    return vendors.select("query_id", "vendor", F.explode(F.slice(subs, 1, most)).alias("subreddit"))
+
+
+def with_hint(questions: DataFrame, vendors: DataFrame) -> DataFrame:
+    """query_id, vendor, stage of all questions (query_id, hint): the last rung of the ladder, where the others
+    find nothing, is the vendor of the community that a question comes from."""
+    hints = F.create_map(*(F.lit(x) for pair in D.COMMUNITY_HINTS.items() for x in pair))
+    rows = questions.select("query_id", "hint").join(vendors, "query_id", "left")
+    return rows.select("query_id", F.coalesce("vendor", F.element_at(hints, F.lower("hint"))).alias("vendor"), F.when(F.col("vendor").isNotNull(), "named").when(F.element_at(hints, F.lower("hint")).isNotNull(), "hint").otherwise("none").alias("stage"))
+
+
+def fuzzy_words(questions: DataFrame) -> DataFrame:
+    """query_id, pos, word: the words of a question that may name a vendor by likeness."""
+    words = questions.select("query_id", F.posexplode(T.words(F.col("query"))).alias("pos", "word"))
+    return words.where((F.length("word") > 4) & ~F.col("word").isin(D.VENDOR_STOP_WORDS))
+
+
 def fuzzy_vendor(words: DataFrame, registry: DataFrame, *, cutoff: float = 0.92, most_names: int = 200_000) -> DataFrame:
     """word, vendor, ratio: the most similar registered name by matching blocks, if it reaches the cutoff.
 

@@ -61,13 +61,14 @@ def synonyms(terms: str) -> str:
     return f"list_distinct(flatten([{terms}, {extra}]))"
 
 
-def vendor_sql() -> str:
+def vendor_sql(asked: str | None = None) -> str:
     phrases = values([(0, k, a, v) for k, (a, v) in enumerate(D.PHRASE_VENDORS)], "stage, ord, alias, vendor")
     aliases = values([(2, k, a, v) for k, (a, v) in enumerate(D.ALIAS_VENDORS)], "stage, ord, alias, vendor")
     communities = values([(1, k, a, v) for k, (a, v) in enumerate(D.SUBREDDIT_VENDORS)], "stage, ord, alias, vendor")
     registry = values(Q.CORPUS_VENDORS, "vendor, stage")
+    low = f"SELECT query_id, lower(query) AS q FROM {asked}" if asked else f"SELECT query_id, lower(query) AS q FROM {QUESTIONS} UNION ALL SELECT item_id + 1000, lower(text) FROM benchmark"
     return f"""
-WITH low AS (SELECT query_id, lower(query) AS q FROM {QUESTIONS} UNION ALL SELECT item_id + 1000, lower(text) FROM benchmark),
+WITH low AS ({low}),
 every AS (
   SELECT query_id, q, stage, ord, vendor FROM low JOIN (SELECT * FROM {phrases} UNION ALL SELECT * FROM {aliases}) n ON contains(q, alias)
   UNION ALL SELECT query_id, q, 0, {len(D.PHRASE_VENDORS)}, 'Ubiquiti' FROM low WHERE list_contains({words('q')}, 'g6')
@@ -190,11 +191,11 @@ attempts AS (
 SQL = {
     "lexical_topk": f"WITH {POSTINGS}, {BENCH}, {hits('bench')} SELECT * FROM {ranked('hits', 4)}",
     "lexical_topk_nofilter": f"WITH {POSTINGS}, {BENCH}, {hits('bench')}, every AS (SELECT b.query_id, d.doc_id, coalesce(h.hits, 0) AS hits FROM bench b CROSS JOIN documents d LEFT JOIN hits h ON h.query_id = b.query_id AND h.doc_id = d.doc_id) SELECT * FROM {ranked('every', 5)}",
-    "topk_with_fallback": f"WITH {POSTINGS}, q AS (SELECT query_id, {tokens('query')} AS terms FROM {CORPUS}), {hits('q')}, best AS {ranked('hits', 4)} SELECT * FROM best UNION ALL SELECT query_id, doc_id, 0, rank FROM (SELECT query_id FROM q WHERE query_id NOT IN (SELECT query_id FROM best)) CROSS JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 4)",
+    "topk_with_fallback": f"WITH {POSTINGS}, {BENCH}, q AS (SELECT query_id, terms FROM bench UNION ALL SELECT -query_id, {tokens('query')} AS terms FROM {CORPUS}), {hits('q')}, best AS {ranked('hits', 4)} SELECT * FROM best UNION ALL SELECT query_id, doc_id, 0, rank FROM (SELECT query_id FROM q WHERE query_id NOT IN (SELECT query_id FROM best)) CROSS JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents ORDER BY doc_id LIMIT 4)",
     "synonym_expand_topk": f"WITH {POSTINGS}, q AS (SELECT query_id, {synonyms(tokens('query'))} AS terms FROM {CORPUS}), {hits('q')} SELECT * FROM {ranked('hits', 5)}",
     "substr_hits_topk": f"WITH {BENCH}, hits AS (SELECT query_id, doc_id, len(list_filter(terms, lambda t: contains(low, t))) AS hits FROM bench CROSS JOIN (SELECT doc_id, lower(text) AS low FROM documents)) , found AS (SELECT * FROM hits WHERE hits >= 2) SELECT * FROM {ranked('found', 5)}",
     "hybrid_hits_topk": f"WITH q AS (SELECT query_id, {tokens('query')} AS terms FROM {values([(1, 'en version'), (2, 'src1 license fr'), (3, 'de release und')], 'query_id, query')}), hits AS (SELECT query_id, doc_id, len(list_intersect(terms, [source, lang])) + len(list_filter(terms, lambda t: contains(lower(text), t))) AS hits FROM q CROSS JOIN documents) , found AS (SELECT * FROM hits WHERE hits > 0) SELECT * FROM {ranked('found', 5)}",
-    "rerank_overlap": f"WITH {POSTINGS}, {BENCH}, {hits('bench')}, best AS {ranked('hits', 8)}, scored AS (SELECT b.query_id, b.doc_id, b.rank, len(list_intersect(q.terms, d.title)) / greatest(len(q.terms), 1) AS score FROM best b JOIN bench q USING (query_id) JOIN (SELECT doc_id, {ORDERED}[1:20] AS title FROM (SELECT doc_id, {words('text')} AS w FROM documents)) d USING (doc_id)) SELECT query_id, doc_id, score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM scored) WHERE new_rank <= 4",
+    "rerank_overlap": f"WITH {POSTINGS}, {BENCH}, {hits('bench')}, best AS {ranked('hits', 8)}, scored AS (SELECT b.query_id, b.doc_id, b.rank, len(list_intersect(q.terms, d.title)) / greatest(len(q.terms), 1) AS score FROM best b JOIN bench q USING (query_id) JOIN (SELECT doc_id, {ORDERED} AS title FROM (SELECT doc_id, {words('string_split(text, chr(10))[1]')} AS w FROM documents)) d USING (doc_id)) SELECT query_id, doc_id, score, new_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS new_rank FROM scored) WHERE new_rank <= 4",
     "rewrite_chain": f"SELECT query_id, query, {_REWRITTEN} AS rewritten FROM (SELECT query_id, query FROM {QUESTIONS} UNION ALL SELECT item_id, text FROM benchmark)",
     "rewrite_fallback": _fallback(),
     "categorize_docs": f"SELECT id, {first_match('text', D.CATEGORIES, 'general')} AS category FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -query_id, query FROM {QUESTIONS})",
@@ -203,8 +204,8 @@ SQL = {
     "task_router": f"SELECT query_id, {first_match('query', D.AGENTS, 'ResearchAgent')} AS agent FROM {ASKED}",
     "subreddit_routing": _routing(),
     "tier_label": f"SELECT doc_id, source, tier, CASE tier WHEN 1 THEN 'VERIFIED' WHEN 2 THEN 'COMMUNITY' ELSE 'UNVERIFIED' END AS label FROM (SELECT doc_id, source, CASE WHEN {NUMBER} <= 6 THEN 1 WHEN {NUMBER} <= 11 THEN 2 ELSE 3 END AS tier FROM documents)",
-    "subreddit_tag_extract": f"SELECT query_id, lower(regexp_extract(query, '\\[r/(\\w+)\\]', 1)) AS tag FROM {QUESTIONS}",
-    "doc_id_hash": "SELECT page_id, sha1(coalesce(nullif(url, ''), html[1:50] || '|web'))[1:12] AS hash FROM pages",
+    "subreddit_tag_extract": f"SELECT query_id, lower(regexp_extract(query, '\\[r/(\\w+)\\]', 1)) AS tag FROM {ASKED} UNION ALL SELECT -page_id, lower(regexp_extract(url, '://[^/]+/(\\w+)', 1)) FROM pages",
+    "doc_id_hash": "SELECT page_id, sha1(coalesce(nullif(url, ''), regexp_extract(html, '<title>([^<]*)</title>', 1) || '|web'))[1:12] AS hash FROM pages",
     "page_title_extract": "SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, 'https?://([^/]+)', 1) AS host, regexp_extract(url, '[?&]ref=([^&#]*)', 1) AS ref FROM pages",
     "json_prop_filter": f"SELECT event_id, event_type, {K} AS k FROM events WHERE {K} >= 90",
     "keyword_extract": f"SELECT query_id, array_to_string({ORDERED}[1:8], ' ') AS keywords, array_to_string(list_transform(list_filter({words('query')}, lambda t: length(t) > 3), lambda t: {_BARE}), ' ') AS long_terms FROM (SELECT item_id AS query_id, text AS query, list_filter(list_transform({words('text')}, lambda t: {_BARE}), lambda t: length(t) > 2 AND t NOT IN {Q.STOP_WORDS!r}) AS w FROM benchmark)",
@@ -214,7 +215,7 @@ SQL = {
     "canonical_sort": "WITH first AS (SELECT p_partkey, p_retailprice, CASE WHEN contains(lower(p_brand), 'widget') OR contains(lower(p_name), 'widget') THEN 0 WHEN lower(p_brand) = 'brand#1' THEN 1 WHEN p_size > 40 THEN 3 ELSE 2 END AS class FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 50) SELECT p_partkey, class, row_number() OVER (ORDER BY class, p_retailprice DESC, p_partkey) AS position FROM first",
     "community_rerank": "WITH first AS (SELECT doc_id, n_chars, contains(low, 'the')::INT + contains(low, 'und')::INT + contains(low, 'que')::INT + contains(low, 'version')::INT + CASE WHEN contains(low[1:80], 'the ') THEN 10 ELSE 0 END AS relevance FROM (SELECT *, lower(text) AS low FROM documents) ORDER BY relevance DESC, doc_id LIMIT 20) SELECT *, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS position FROM first",
     "top_comment": "WITH best AS (SELECT conv_id, length(text) AS votes, text FROM conversations WHERE role = 'assistant' AND length(text) > 10 AND trim(text) NOT IN ('', '[deleted]', '[removed]') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn, text DESC) = 1), own AS (SELECT conv_id, text FROM conversations WHERE role = 'user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) = 1) SELECT conv_id, coalesce(b.votes, 0) AS votes, CASE WHEN b.votes > 0 THEN 'TOP: ' || b.text ELSE o.text END AS comment FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN best b USING (conv_id) LEFT JOIN own o USING (conv_id)",
-    "tier_boost_merge": f"WITH t AS (SELECT lang AS query_id, doc_id, CASE WHEN {NUMBER} <= 6 THEN 1 WHEN {NUMBER} <= 11 THEN 2 ELSE 3 END AS tier, {NUMBER} AS source_ord, {any_word('text[1:60]', ['that', 'und ', 'que '])}::INT AS boosted FROM documents) SELECT query_id, doc_id, tier, boosted, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, tier, source_ord, doc_id) AS rank FROM t WHERE tier <= 2) WHERE rank <= 4",
+    "tier_boost_merge": f"WITH t AS (SELECT lang AS query_id, doc_id, CASE WHEN {NUMBER} <= 6 THEN 1 WHEN {NUMBER} <= 11 THEN 2 ELSE 3 END AS tier, {NUMBER} AS source_ord, {any_word('string_split(text, chr(10))[1]', ['that', 'und ', 'que '])}::INT AS boosted FROM documents) SELECT query_id, doc_id, tier, boosted, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, tier, source_ord, doc_id) AS rank FROM t WHERE tier <= 2) WHERE rank <= 4",
     "conditional_sources": f"WITH {POSTINGS}, q AS (SELECT query_id, {tokens('query')} AS terms FROM {CORPUS}), {hits('q')}, near AS (SELECT h.* FROM hits h JOIN documents USING (doc_id) WHERE {NUMBER} <= 1 AND lang = 'es'), targeted AS {ranked('near', 3)}, rest AS (SELECT * FROM hits WHERE query_id NOT IN (SELECT query_id FROM targeted)) SELECT *, 'targeted' AS origin FROM targeted UNION ALL SELECT *, 'general' FROM {ranked('rest', 3)}",
     "context_drop": f"SELECT query_id, count(*) AS n_context FROM {QUESTIONS} CROSS JOIN documents WHERE {any_word('text', ['version', 'license', 'release'])} AND ({any_word('query', D.SECURITY_WORDS)} OR NOT contains(lower(text), 'license')) GROUP BY query_id",
     "trending_topn": f"WITH s AS (SELECT event_id, value / 500 * 10 + {K} * 0.5::DOUBLE + value * 0.1::DOUBLE + CASE WHEN event_type IN ('error', 'signup') THEN 5 ELSE 0 END + CASE WHEN {K} > 5 THEN 3 ELSE 0 END + CASE WHEN ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN 2 ELSE 0 END - CASE WHEN user_id % 3 = 0 AND value < 5 THEN 5 ELSE 0 END AS score FROM events) SELECT * FROM s WHERE score > 0 ORDER BY score DESC, event_id LIMIT 50",

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import dictionaries as D
 from tidemark.functions import text as T
 from tidemark.operators import metrics as M
+from tidemark.operators import order
 from tidemark.operators import retrieve as R
 from tidemark.operators import score as S
 from tidemark.operators import vendor as V
@@ -49,6 +50,11 @@ def everything_asked(spark: SparkSession, d: str) -> DataFrame:
     return questions(spark).unionByName(user)
 
 
+def title_of(text: Column) -> Column:
+    """The first line of a document."""
+    return F.substring_index(text, "\n", 1)
+
+
 def lexical_topk(spark, d):
     return R.ranked(R.token_hits(benchmark(spark, d), table(spark, d, "documents")), 4)
 
@@ -59,7 +65,8 @@ def lexical_topk_nofilter(spark, d):
 
 
 def topk_with_fallback(spark, d):
-    q, docs = corpus_questions(spark), table(spark, d, "documents")
+    docs = table(spark, d, "documents")
+    q = benchmark(spark, d).unionByName(corpus_questions(spark).withColumn("query_id", -F.col("query_id")))
     return R.ranked_or_first(q, docs, R.token_hits(q, docs), 4)
 
 
@@ -81,7 +88,7 @@ def rerank_overlap(spark, d):
     docs = table(spark, d, "documents")
     q = benchmark(spark, d)
     best = R.ranked(R.token_hits(q, docs), 8).join(q.select("query_id", F.size("terms").alias("n")), "query_id")
-    title = best.join(docs.select("doc_id", F.slice(T.tokens(F.col("text")), 1, 20).alias("title")), "doc_id").join(q.select("query_id", "terms"), "query_id")
+    title = best.join(docs.select("doc_id", T.tokens(title_of(F.col("text"))).alias("title")), "doc_id").join(q.select("query_id", "terms"), "query_id")
     scored = title.withColumn("score", T.overlap_tokens(F.col("terms"), F.col("title")) / F.greatest("n", F.lit(1)))
     return R.top(scored, 4, F.col("score").desc(), F.col("rank"), rank="new_rank").select("query_id", "doc_id", "score", "new_rank")
 
@@ -131,11 +138,12 @@ def tier_label(spark, d):
 
 
 def subreddit_tag_extract(spark, d):
-    return questions(spark).select("query_id", F.lower(F.regexp_extract("query", r"\[r/(\w+)\]", 1)).alias("tag"))
+    asked = everything_asked(spark, d).select("query_id", F.lower(F.regexp_extract("query", r"\[r/(\w+)\]", 1)).alias("tag"))
+    return asked.unionByName(table(spark, d, "pages").select((-F.col("page_id")).alias("query_id"), F.lower(F.regexp_extract("url", r"://[^/]+/(\w+)", 1)).alias("tag")))
 
 
 def doc_id_hash(spark, d):
-    return table(spark, d, "pages").select("page_id", T.short_id(F.col("url"), F.substring("html", 1, 50), F.lit("web")).alias("hash"))
+    return table(spark, d, "pages").select("page_id", T.short_id(F.col("url"), F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("web")).alias("hash"))
 
 
 def page_title_extract(spark, d):
@@ -199,7 +207,7 @@ def top_comment(spark, d):
 def tier_boost_merge(spark, d):
     number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     docs = table(spark, d, "documents").select(F.col("lang").alias("query_id"), "doc_id", F.when(number <= 6, 1).when(number <= 11, 2).otherwise(3).alias("tier"), number.alias("source_ord"), F.col("doc_id").alias("position"), "text").where("tier <= 2")
-    boosted = T.any_word(F.substring("text", 1, 60), ["that", "und ", "que "]).cast("int")
+    boosted = T.any_word(title_of(F.col("text")), ["that", "und ", "que "]).cast("int")
     return R.merge_tiers(docs, boosted, 4).select("query_id", "doc_id", "tier", "boosted", "rank")
 
 
@@ -214,10 +222,10 @@ def conditional_sources(spark, d):
 
 def context_drop(spark, d):
     """Security notices leave the context of questions that are not about security."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    secure = T.any_word(F.col("query"), D.SECURITY_WORDS)
-    pairs = docs.where(T.any_word(F.col("text"), ["version", "license", "release"])).join(R.small(questions(spark)))
-    return pairs.where(secure | ~T.any_word(F.col("text"), ["license"])).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_context"))
+    docs = table(spark, d, "documents").where(T.any_word(F.col("text"), ["version", "license", "release"]))
+    kept = docs.agg(F.count(F.lit(1)).alias("n"), F.count_if(~T.any_word(F.col("text"), ["license"])).alias("n_plain"))
+    n = F.when(T.any_word(F.col("query"), D.SECURITY_WORDS), F.col("n")).otherwise(F.col("n_plain"))
+    return questions(spark).crossJoin(F.broadcast(kept)).select("query_id", n.alias("n_context")).where("n_context > 0")  # one row of counts
 
 
 def trending_topn(spark, d):
@@ -274,8 +282,11 @@ def volume_score(spark, d):
 def _attempts(spark, d):
     docs, q = table(spark, d, "documents"), benchmark(spark, d)
     broad = q.withColumn("terms", T.tokens(F.concat("query", F.lit(" the und que software release"))))
-    best = lambda qs, name: R.ranked(R.token_hits(qs, docs), 1).join(qs.select("query_id", F.size("terms").alias("n")), "query_id").select("query_id", (F.col("hits") / F.col("n")).alias(name))
-    return q.select("query_id").join(best(q, "first"), "query_id", "left").join(best(broad, "second"), "query_id", "left").na.fill(0.0, ["first", "second"])
+    both = q.withColumn("attempt", F.lit(1)).unionByName(broad.withColumn("attempt", F.lit(2)))
+    by = ("query_id", "attempt")
+    best = R.ranked(R.token_hits(both, docs, by), 1, by).join(both.select(*by, F.size("terms").alias("n")), list(by)).withColumn("share", F.col("hits") / F.col("n"))
+    wide = best.groupBy("query_id").agg(*(F.max(F.when(F.col("attempt") == k, F.col("share"))).alias(name) for k, name in ((1, "first"), (2, "second"))))
+    return q.select("query_id").join(wide, "query_id", "left").na.fill(0.0, ["first", "second"])
 
 
 def retry_keep_best(spark, d):
@@ -301,11 +312,14 @@ def defect_vs_usability(spark, d):
 
 
 def dataset_overview(spark, d):
+    names = table(spark, d, "documents").select("source").distinct().orderBy("source").limit(10)
+    few = names.agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("first_sources"))  # ten names
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
-    return docs.agg(
+    counts = docs.agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality").isNull()).alias("unlabelled"),
-        F.countDistinct("source").alias("sources"), F.array_join(F.slice(F.array_sort(F.collect_set("source")), 1, 10), ",").alias("first_sources"),
+        F.countDistinct("source").alias("sources"),
     )
+    return counts.crossJoin(F.broadcast(few))  # a row each
 
 
 def usage_rollup(spark, d):
@@ -326,23 +340,20 @@ def _grades(spark, d):
 
 
 def _rankings(spark, d):
+    """Rankings of two systems, from one pass over the documents."""
     docs, q = table(spark, d, "documents"), benchmark(spark, d)
-    a = R.ranked(R.token_hits(q, docs), 6).select("query_id", "doc_id", "rank", F.lit("tokens").alias("system"))
-    late = q.withColumn("terms", F.slice("terms", 1, 6))
-    b = R.ranked(R.token_hits(late, docs), 6).select("query_id", "doc_id", "rank", F.lit("short").alias("system"))
-    return a.unionByName(b)
-
-
-def _judged(spark, d):
-    pool = _rankings(spark, d).select("query_id", "doc_id").distinct()
-    return pool.join(_grades(spark, d), "doc_id").select("query_id", "doc_id", "grade")
+    both = q.withColumn("system", F.lit("tokens")).unionByName(q.withColumn("terms", F.slice("terms", 1, 6)).withColumn("system", F.lit("short")))
+    by = ("query_id", "system")
+    return R.ranked(R.token_hits(both, docs, by), 6, by).select("query_id", "doc_id", "rank", "system")
 
 
 def ir_metrics(spark, d):
     none = spark.createDataFrame([(-1,)], "query_id long")
     q = benchmark(spark, d).select("query_id").unionByName(none)
     systems = spark.createDataFrame([("tokens",), ("short",)], "system string")
-    return M.ir_metrics(_rankings(spark, d), _judged(spark, d), q.join(F.broadcast(systems)), by=("query_id", "system"))
+    rankings = _rankings(spark, d)
+    judged = rankings.select("query_id", "doc_id").distinct().join(_grades(spark, d), "doc_id").select("query_id", "doc_id", "grade")
+    return M.ir_metrics(rankings, judged, q.join(F.broadcast(systems)), by=("query_id", "system"))
 
 
 def pooled_qrels(spark, d):
@@ -373,8 +384,8 @@ def paired_comparison(spark, d):
 
 
 def tertile_gain(spark, d):
-    e = table(spark, d, "events").where("event_type = 'purchase'").select((F.row_number().over(Window.orderBy("event_id"))).alias("seq"), "value")
-    return M.tertile_gain(e, "seq", "value", table(spark, d, "events").where("event_type = 'purchase'").count())
+    e = order.numbered(table(spark, d, "events").where("event_type = 'purchase'").select("event_id", "value"), "event_id")
+    return M.tertile_gain(e, "seq", "value", e.count())
 
 
 def _memory(spark, d):
@@ -432,7 +443,7 @@ def embedding_topk(spark, d):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     unit = e.select("vec_id", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("v"))
     asked = unit.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    pairs = unit.join(R.small(asked)).where("vec_id <> query_id").select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("cosine"))
+    pairs = R.against(unit, asked, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", dot(F.col("v"), F.col("q")).alias("cosine"))
     return R.top(pairs, 5, F.col("cosine").desc(), F.col("vec_id")).select("query_id", "vec_id", "rank")
 
 

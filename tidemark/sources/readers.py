@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import retrieve as R
 
 RELEASE = "versionSearchTags array<string>, versionProductName string, versionProductBrand string, versionNumber string, versionReleaseNotes string, versionReleaseDate string, versionReleaseChannel string, versionReleaseTags array<string>, versionUrl string, isCve boolean, classification struct<securityType: array<string>, breakingType: array<string>>"
 POST = "title string, subreddit string, url string, score int, created_utc string, upvote_ratio double, num_comments int, author_description string, first_author_comment string, comments array<struct<id: string, body: string, score: int, author: string>>, metadata struct<predicted: struct<positiveScore: double>>"
@@ -14,15 +17,42 @@ KEV = "vulnerabilities array<struct<vendorProject: string, product: string, vuln
 QUESTION = "id string, query string, question string, title string, category string, ground_truth string, gt string"
 
 
+def payloads(spark: SparkSession, path: str) -> DataFrame:
+    """(value): whole files as texts."""
+    return spark.read.text(path, wholetext=True)
+
+
 def releases(spark: SparkSession, path: str) -> DataFrame:
-    """Releases of a payload that maps vendors to lists of them; notes may be a text or a list of texts."""
-    payload = spark.read.text(path, wholetext=True)
+    return release_rows(payloads(spark, path))
+
+
+def release_rows(texts: DataFrame) -> DataFrame:
+    """Releases of payloads (value) that map vendors to lists of them; notes may be a text or a list of texts."""
     kind = f"map<string, array<struct<{_fields(RELEASE)}>>>"
-    listed = payload.select(F.explode(F.from_json("value", kind)).alias("vendor", "rows")).select("vendor", F.explode("rows").alias("r"))
+    listed = texts.select(F.explode(F.from_json("value", kind)).alias("vendor", "rows")).select("vendor", F.explode("rows").alias("r"))
     notes = F.coalesce(F.array_join(F.from_json("versionReleaseNotes", "array<string>"), " "), F.col("versionReleaseNotes"))
     return listed.select("vendor", "r.*").withColumn("versionReleaseNotes", F.coalesce(notes, F.lit("")))
 
 
+def best_hits(rows: DataFrame, questions: DataFrame, body: Column, order: Sequence[Column], *, least: int = 1, limit: int = 5) -> DataFrame:
+    """The rows of a feed with the most of each question's ``terms`` as substrings of ``body``, ranked.
+
+    Feeds are read whole; the questions are sent to all tasks if they are small."""
+    pairs = rows.join(R.small(questions.select("query_id", "terms")))
+    scored = pairs.withColumn("hits", T.overlap_substrings(F.col("terms"), F.lower(body))).where(F.col("hits") >= least)
+    return R.top(scored, limit, F.col("hits").desc(), *order)
+
+
+def json_rows(texts: DataFrame, schema: str) -> DataFrame:
+    """Rows of payloads (value) that are a list, or an object with the list under ``data``."""
+    listed = F.coalesce(F.from_json("value", f"struct<data: array<{schema}>>")["data"], F.from_json("value", f"array<{schema}>"))
+    return texts.select(F.explode(listed).alias("r")).select("r.*")
+
+
+def known_exploited_rows(texts: DataFrame) -> DataFrame:
+    return texts.select(F.explode(F.from_json("value", f"struct<{_fields(KEV.replace('vulnerabilities array', 'vulnerabilities: array'))}>")["vulnerabilities"]).alias("v")).select("v.*")
+
+
 def _fields(schema: str) -> str:
     import re
 
@@ -63,11 +93,11 @@ def known_exploited(spark: SparkSession, path: str, query: str, least: int = 2,
 
 
 def feed_items(documents: DataFrame, column: str = "value") -> DataFrame:
-    """title, link, published of the items of RSS texts and the entries of Atom texts, one text a row."""
+    """title, link, published, summary (of RSS the source), pos of the items of RSS texts and the entries of Atom texts, one text a row."""
     text = F.col(column)
-    rss = F.arrays_zip(F.xpath(text, F.lit("//item/title/text()")).alias("title"), F.xpath(text, F.lit("//item/link/text()")).alias("link"), F.xpath(text, F.lit("//item/pubDate/text()")).alias("published"))
-    atom = F.arrays_zip(F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='title']/text()")).alias("title"), F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='link']/@href")).alias("link"), F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='updated']/text()")).alias("published"))
-    return documents.select(F.explode(F.concat(rss, atom)).alias("i")).select("i.*")
+    rss = F.arrays_zip(F.xpath(text, F.lit("//item/title/text()")).alias("title"), F.xpath(text, F.lit("//item/link/text()")).alias("link"), F.xpath(text, F.lit("//item/pubDate/text()")).alias("published"), F.xpath(text, F.lit("//item/source/text()")).alias("summary"))
+    atom = F.arrays_zip(F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='title']/text()")).alias("title"), F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='link']/@href")).alias("link"), F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='updated']/text()")).alias("published"), F.xpath(text, F.lit("//*[local-name()='entry']/*[local-name()='summary']/text()")).alias("summary"))
+    return documents.select(F.posexplode(F.concat(rss, atom)).alias("pos", "i")).select("i.*", "pos")
 
 
 def questions(rows: DataFrame, limit: int | None = None) -> DataFrame:

@@ -31,10 +31,25 @@ def report(cells: DataFrame) -> DataFrame:
     return rows.select("system", F.concat(F.lit("| "), "system", F.lit(" | "), F.array_join(F.transform("cells", lambda c: c["cell"]), " | "), F.lit(" |")).alias("line"))
 
 
-def upsert(spark: SparkSession, old: str | None, new: DataFrame, keys: list[str], to: str) -> None:
-    """The rows of ``old``, replaced by those of ``new`` with the same keys, written to another folder."""
-    rows = new.withColumn("_age", F.lit(0))
-    if old is not None:
-        rows = rows.unionByName(spark.read.parquet(old).withColumn("_age", F.lit(1)))
+def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``old``, replaced by those of ``new`` with the same keys."""
+    rows = new.withColumn("_age", F.lit(0)).unionByName(old.withColumn("_age", F.lit(1)))
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_age"))).where("_r = 1")
-    first.drop("_r", "_age").write.mode("overwrite").parquet(to)
+    return first.drop("_r", "_age")
+
+
+def upsert(spark: SparkSession, old: str | None, new: DataFrame, keys: list[str], to: str) -> None:
+    """:func:`upserted` from one folder (or none) to another."""
+    before = new.limit(0) if old is None else spark.read.parquet(old)
+    upserted(before, new, keys).write.mode("overwrite").parquet(to)
+
+
+def csv_lines(wide: DataFrame, key: str, metrics: list[str]) -> DataFrame:
+    """key, line: a CSV line of ``%.3f`` cells, blank where missing."""
+    cells = [F.when(F.col(m).isNotNull(), F.format_string("%.3f", F.col(m))).otherwise("") for m in metrics]
+    return wide.select(key, F.concat_ws(",", F.col(key), *cells).alias("line"))
+
+
+def json_lines(rows: DataFrame, key: str) -> DataFrame:
+    """key, line: each row as one JSON object."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns)).alias("line"))
