@@ -66,6 +66,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hashes' multiplier, and of its inverse, for at least ``size`` places."""
+    return _powers(1 << int(max(1, size)).bit_length())
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each value; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

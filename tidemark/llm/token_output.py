@@ -2,14 +2,16 @@
 
 Documents are range-partitioned and sorted by id; each partition is one shard of the output. Its texts
 are tokenised, an end id follows each document, and the ids are packed in blocks of about
-``block_tokens`` (whole documents). In a block the most frequent pairs of neighbouring ids are replaced
-by new nonterminals, round after round. A block stores its rules, the expansion length of each, the
-replaced sequence, and the documents' ids and lengths, so any range of tokens is decoded from the few
-symbols that cover it. Blocks are rows of a Parquet table, so Spark's commit protocol covers them.
+``block_tokens`` (whole documents). In a block the frequent pairs of neighbouring ids are replaced by new
+nonterminals, round after round, until no pair occurs ``LEAST_PAIRS`` times. A block stores its rules, the
+expansion length of each, the replaced sequence, and the documents' ids and lengths, so any range of tokens
+is decoded from the few symbols that cover it. Blocks are rows of a Parquet table, so Spark's commit protocol
+covers them.
 
 Tokenising: texts are cut before single spaces that stand between two other characters; there a
-byte-level BPE cuts anyway, so each distinct piece is tokenised once and its ids are remembered in a
-bounded cache (plain words without another look for cuts). Texts with runs of white space at a space, or with special tokens, are tokenised whole.
+byte-level BPE cuts anyway, so each distinct piece is tokenised once. Pieces are hashed (128 bits) and looked
+up in a bounded table with numpy, so that no Python code runs for a piece that is known, nor for a new one
+that is a plain word. Texts with runs of white space at a space, or with special tokens, are tokenised whole.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows without an id come first;
 rows with the same id are ordered by their text; an empty table gives an empty output. Columns besides
@@ -32,35 +34,65 @@ from tidemark.llm import kernels, shared
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
-ROUNDS = 8
-PAIRS_A_ROUND = 256
+#: A round replaces all pairs that are at least a SHARE-th as frequent as the most frequent one.
+SHARE = 16
 LEAST_PAIRS = 8
-#: Distinct pieces whose ids a worker remembers; then it starts afresh.
-CACHE_PIECES = 500_000
+#: Distinct pieces whose ids a worker remembers; then it starts afresh. Half of its table's slots.
+CACHE_PIECES = 1 << 20
+#: Bytes of texts that are tokenised together, and new pieces that the library gets in one text.
+PORTION_BYTES = 1 << 20
+PIECES_A_CALL = 1024
+_NEW = -1
+_ODD = -1
 _HEAD = struct.Struct("<4sIIII")
 _encoders: dict[str, Encoder] = {}
 
 
-class _Pieces(dict):
-    """Numbers pieces as they are first asked for."""
+_ALPHA = np.zeros(256, bool)
+_ALPHA[65:91] = _ALPHA[97:123] = True
+_BYTE_VALUES = np.random.default_rng(77).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def __init__(self):
-        self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+class _Table:
+    """Numbers of 128-bit keys, in the order in which they came: open addressing over numpy arrays."""
 
+    def __init__(self, slots: int):
+        self.mask = slots - 1
+        self.keys = np.zeros((2, slots), np.uint64)
+        self.number = np.full(slots, _NEW, np.int32)
+        self.used = 0
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out = np.full(len(a), _NEW, np.int32)
+        left, slot = np.arange(len(a)), (a & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            number = self.number[slot]
+            same = (self.keys[0, slot] == a[left]) & (self.keys[1, slot] == b[left]) & (number >= 0)
+            out[left[same]] = number[same]
+            on = (number >= 0) & ~same
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Number distinct keys that are not in the table."""
+        left, slot = np.arange(len(a)), (a & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            free = np.flatnonzero(self.number[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.keys[0, slot[won]], self.keys[1, slot[won]] = a[left[won]], b[left[won]]
+            self.number[slot[won]] = self.used + left[won]
+            rest = np.ones(len(left), bool)
+            rest[won] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+        self.used += len(a)
 
-def _cut_word(piece: str) -> str | None:
-    """A word, or words with a mark or the end of a line between, the BPE's cuts marked; None if it is not so plain."""
-    if piece.isalpha():
-        return piece
-    if piece[-1:] in (",", ".") and piece[:-1].isalpha():
-        return f"{piece[:-1]}\x01{piece[-1]}"
-    before, mark, after = piece.partition(".\n")
-    return f"{before}\x01.\x01\n\x01{after}" if mark and before.isalpha() and after.isalpha() else None
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Encoder:
@@ -84,9 +116,9 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.pieces = _Pieces()
+        self.table = _Table(2 * CACHE_PIECES)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.at, self.length = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -94,79 +126,121 @@ class Encoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
         return out
 
-    def _learn(self) -> None:
-        """Ids of the new pieces. Pieces inside a text follow a space; the first of a text is kept with a mark.
+    def _opened(self, tokenizer, joined: str, which: np.ndarray) -> None:
+        """Store the ids of pieces that stand in ``joined``, each after a space."""
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        starts = np.flatnonzero(self.opens[ids])
+        self._keep(which, ids, np.diff(np.append(starts, len(ids))))
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, base: int) -> None:
+        """Ids of new pieces, numbered from ``base``. Pieces inside a text follow a space, the first of a text does not.
 
         A piece that is empty or has white space at an end, or may hold a special token, gets length -1."""
-        new, self.pieces.new = self.pieces.new, []
-        if not new:
-            return
-        base, n = len(self.pieces) - len(new), len(self.pieces)
+        n = base + len(start)
         while len(self.at) < n:
             self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.length))
-        letters, inner, first = [], [], []
-        for k, p in enumerate(new):
-            if word := _cut_word(p):
-                letters.append((k, word))
-                continue
-            bare = p[1:] if p[:1] == " " else p
-            if not bare or bare[0].isspace() or bare[-1].isspace() or "<|" in bare:
-                self.length[base + k] = -1
+        letter = _ALPHA[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)  # of the two-byte letters those from U+00C0 to U+00FF
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        others = np.flatnonzero(~letter)
+        before = np.searchsorted(others, start)
+        count = np.searchsorted(others, end) - before
+        place = np.append(others, [len(raw), len(raw)])[before]  # the first that is no letter
+        mark = np.append(raw, [0, 0])
+        plain = (count == 0) & (end > start)
+        ended = (count == 1) & (place == end - 1) & (place > start) & ((mark[place] == 44) | (mark[place] == 46))
+        lines = (count == 2) & (place > start) & (place + 2 < end) & (mark[place] == 46) & (mark[np.minimum(place + 1, len(raw))] == 10)
+        lines &= np.append(others, [len(raw), len(raw)])[np.minimum(before + 1, len(others))] == place + 1
+        quick = np.flatnonzero((plain | ended | lines) & ~first)
+        for k in range(0, len(quick), PIECES_A_CALL):
+            own = quick[k : k + PIECES_A_CALL]
+            lengths = end[own] - start[own] + 1  # with the space before
+            shift = start[own] - 1 - (np.cumsum(lengths) - lengths)
+            bytes_ = raw[_ranges(start[own] - 1, lengths)]
+            at = place[own] - shift
+            cuts = np.concatenate((at[ended[own] | lines[own]], at[lines[own]] + 1, at[lines[own]] + 2))
+            joined = np.insert(bytes_, cuts, 1).tobytes().decode("latin-1").translate(self.letters)
+            self._opened(self.cut_words, joined, base + own)
+        inner, opening, text = [], [], raw.tobytes()
+        slow = np.ones(len(start), bool)
+        slow[quick] = False
+        for k in np.flatnonzero(slow).tolist():
+            piece = text[start[k] : end[k]].decode()
+            if not piece or piece[0].isspace() or piece[-1].isspace() or "<|" in piece:
+                self.length[base + k] = _ODD
             else:
-                (inner if bare is p else first).append(k)
-        for which, tokenizer in ((letters, self.cut_words), ([(k, new[k]) for k in inner], self.tokenizer)):
-            for s in range(0, len(which), 1024):
-                part = which[s : s + 1024]
-                joined = "".join(" " + p for _, p in part)
-                if tokenizer is self.cut_words:
-                    joined = joined.encode().decode("latin-1").translate(self.letters)
-                ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-                starts = np.flatnonzero(self.opens[ids])
-                self._keep(base, [k for k, _ in part], ids, np.diff(np.append(starts, len(ids))))
-        known = self._whole([new[k][1:] for k in first])
-        self._keep(base, first, [i for own in known for i in own], [len(own) for own in known])
-
-    def _keep(self, base: int, which: list[int], ids, lengths) -> None:
-        """Store the ids, one after another, of the new pieces of the given numbers."""
+                (opening if first[k] else inner).append((base + k, piece))
+        for k in range(0, len(inner), 1024):
+            part = inner[k : k + 1024]
+            self._opened(self.tokenizer, "".join(" " + p for _, p in part), np.array([i for i, _ in part], np.int64))
+        known = self._whole([p for _, p in opening])
+        self._keep(np.array([i for i, _ in opening], np.int64), np.array([i for own in known for i in own], np.uint32), np.array([len(own) for own in known], np.int64))
+
+    def _keep(self, which: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Store the ids, one after another, of the pieces of the given numbers."""
+        if len(which) != len(lengths):
+            raise ValueError("pieces and tokens do not match")
         while len(self.flat) < self.used + len(ids):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.flat[self.used : self.used + len(ids)] = ids
-        at, sizes = base + np.array(which, np.int64), np.array(lengths, np.int64)
-        if len(at) != len(sizes):
-            raise ValueError("pieces and tokens do not match")
-        self.length[at] = sizes
-        self.at[at] = self.used + np.cumsum(sizes) - sizes
+        self.length[which] = lengths
+        self.at[which] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
 
-    def encode(self, texts: list[str], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has, the end id included."""
-        if len(self.pieces) > CACHE_PIECES:
+        if self.table.used > CACHE_PIECES * 3 // 4:
             self.forget()
-        numbers, counts = [np.zeros(0, np.int64)], np.zeros(len(texts), np.int64)
-        get = self.pieces.__getitem__
-        for k, t in enumerate(texts):
-            if t:
-                parts = t.split(" ")
-                parts[0] = " " + parts[0]
-                counts[k] = len(parts)
-                numbers.append(np.fromiter(map(get, parts), np.int64, len(parts)))
-        self._learn()
-        number = np.concatenate(numbers)
-        length = self.length[number]
-        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[length < 0])
-        whole = dict(zip(odd.tolist(), (np.array(i, np.uint32) for i in self._whole([texts[k] for k in odd]))))
+        size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+        text_end = np.cumsum(size)
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        some = size > 0
+        spaces = np.flatnonzero(raw == 32)
+        # a text of n spaces has n + 1 pieces
+        begins = np.sort(np.concatenate((spaces + 1, (text_end - size)[some])), kind="stable")
+        ends = np.sort(np.concatenate((spaces, text_end[some])), kind="stable")
+        counts = np.where(some, np.searchsorted(spaces, text_end) - np.searchsorted(spaces, text_end - size) + 1, 0)
+        stops = np.cumsum(counts)
+        first = np.zeros(len(begins), bool)
+        first[(stops - counts)[some]] = True
+        keys = self._keys(raw, begins, ends, first)
+        number = self.table.find(*keys)
+        new = np.flatnonzero(number == _NEW)
+        if len(new):
+            _, sample, inverse = np.unique(keys[0][new], return_index=True, return_inverse=True)
+            if not (keys[1][new][sample][inverse] == keys[1][new]).all():  # one hash in common, not both
+                _, sample, inverse = np.unique(np.stack([k[new] for k in keys], axis=1), axis=0, return_index=True, return_inverse=True)
+            base, own = self.table.used, new[sample]
+            self.table.add(keys[0][own], keys[1][own])
+            self._learn(raw, begins[own], ends[own], first[own], base)
+            number[new] = base + inverse
+        length = self.length[number].astype(np.int64)
+        odd = np.unique(np.repeat(np.arange(len(texts)), counts)[length == _ODD])
+        whole = dict(zip(odd.tolist(), (np.array(i, np.uint32) for i in self._whole([texts[k].decode() for k in odd]))))
         length = np.maximum(length, 0)
-        ends = np.cumsum(length)
-        ids = self.flat[np.repeat(self.at[number] - (ends - length), length) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        stop = np.concatenate(([0], ends))[np.cumsum(counts)]
-        start = np.concatenate(([0], stop[:-1]))
+        ids = self.flat[_ranges(self.at[number].astype(np.int64), length)]
+        stop = np.concatenate(([0], np.cumsum(length)))[stops]
+        begin = np.concatenate(([0], stop[:-1]))
         tail = np.zeros(0 if end is None else 1, np.uint32) + np.uint32(end or 0)
-        out = [x for k in range(len(texts)) for x in (whole[k] if k in whole else ids[start[k] : stop[k]], tail)]
-        sizes = stop - start + len(tail)
+        out = [x for k in range(len(texts)) for x in (whole[k] if k in whole else ids[begin[k] : stop[k]], tail)]
+        sizes = stop - begin + len(tail)
         for k, own in whole.items():
             sizes[k] = len(own) + len(tail)
         return np.concatenate(out) if out else np.zeros(0, np.uint32), sizes
 
+    @staticmethod
+    def _keys(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each piece."""
+        up, down = kernels.powers(len(raw) + 1)
+        out = []
+        for values in _BYTE_VALUES:
+            sums = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
+            own = (sums[ends] - sums[begins]) * down[begins] + ((ends - begins) * 2 + first).astype(np.uint64)
+            out.append(kernels.mix(own))
+        return out[0], out[1]
+
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file; it lives as long as the worker."""
@@ -178,48 +252,75 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _pair_counts(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    ordered = np.sort(pairs)
-    new = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[new], np.diff(np.append(new, len(ordered)))
-
-
-def repair(ids: np.ndarray, first_symbol: int, *, rounds: int = ROUNDS, pairs_a_round: int = PAIRS_A_ROUND, least: int = LEAST_PAIRS) -> tuple[np.ndarray, np.ndarray]:
-    """Rules (left, right) of the nonterminals from ``first_symbol`` on, and the replaced sequence."""
-    small = max(first_symbol, int(ids.max(initial=0)) + 1) + rounds * pairs_a_round <= 1 << 16
-    kind, half = (np.uint32, 16) if small else (np.uint64, 32)  # a pair in one number
-    shift, low = kind(half), kind((1 << half) - 1)
-    sequence, rules, symbol = ids.astype(kind), [], first_symbol
-    for _ in range(rounds):
-        if len(sequence) < 2:
-            break
-        pairs = sequence[:-1] << shift | sequence[1:]
-        kinds, counts = _pair_counts(pairs)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
+def repair(ids: np.ndarray, first_symbol: int, *, least: int = LEAST_PAIRS, share: int = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Rules (left, right) of the nonterminals from ``first_symbol`` on, and the replaced sequence.
+
+    A round takes all pairs that occur at least ``least`` times and a ``share``-th as often as the commonest one;
+    the last round is the one after which no pair occurs ``least`` times."""
+    symbol = max(first_symbol, int(ids.max(initial=0)) + 1)
+    if symbol != first_symbol:
+        raise ValueError("an id is not below the first nonterminal")
+    half = 16 if symbol < 1 << 16 else 32
+    sequence, rules = ids.astype(np.uint32 if half == 16 else np.uint64), []
+    while len(sequence) > 1:
+        kind = sequence.dtype.type
+        pairs = sequence[:-1] << kind(half) | sequence[1:]  # a pair in one number
+        pairs.sort()
+        last = np.append(np.flatnonzero(pairs[1:] != pairs[:-1]), len(pairs) - 1)
+        counts = np.diff(last, prepend=-1)
+        if counts.max() < least:
             break
-        chosen = often[np.lexsort((kinds[often], -counts[often]))[:pairs_a_round]]
-        chosen = np.sort(kinds[chosen])
-        left, right = np.zeros(symbol, bool), np.zeros(symbol, bool)
-        left[chosen >> shift] = True
-        right[chosen & low] = True
-        maybe = np.flatnonzero(left[sequence[:-1]] & right[sequence[1:]])
-        at = np.searchsorted(chosen, pairs[maybe])
-        at[at == len(chosen)] = 0
-        hit = chosen[at] == pairs[maybe]
-        maybe, at = maybe[hit], at[hit]
+        chosen = pairs[last[counts >= max(least, int(counts.max()) // share)]]
+        if half == 16 and symbol + len(chosen) > 1 << 16:
+            half, sequence = 32, sequence.astype(np.uint64)
+            continue
+        left, right = (chosen >> kind(half)).astype(np.int64), (chosen & kind((1 << half) - 1)).astype(np.int64)
+        which = _rule_of(sequence, left, right, symbol)
+        at = np.flatnonzero(which)
         # of neighbouring places that overlap, every other one is taken
-        new = np.concatenate(([True], np.diff(maybe) > 1))
-        first = np.flatnonzero(new)
-        inside = np.arange(len(maybe)) - np.repeat(first, np.diff(np.append(first, len(maybe))))
-        maybe, at = maybe[inside % 2 == 0], at[inside % 2 == 0]
-        sequence[maybe] = (symbol + at).astype(kind)
+        run = np.zeros(len(at), np.int64)
+        new = np.flatnonzero(at[1:] - at[:-1] > 1) + 1
+        run[new] = new
+        at = at[(np.arange(len(at)) - np.maximum.accumulate(run)) % 2 == 0]
+        sequence[at] = (symbol - 1 + which[at]).astype(kind)
         keep = np.ones(len(sequence), bool)
-        keep[maybe + 1] = False
+        keep[at + 1] = False
         sequence = sequence[keep]
-        rules.append(np.stack((chosen >> shift, chosen & low), axis=1))
+        rules.append(np.stack((left, right), axis=1))
         symbol += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint64)).astype(np.uint32), sequence.astype(np.uint32)
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype(np.uint32), sequence.astype(np.uint32)
+
+
+def _rule_of(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
+    """At each place the number (from 1) of the pair that begins there, 0 for none of them."""
+    rows, columns = np.unique(left), np.unique(right)
+    width = len(columns) + 1
+    kind = np.int32 if (len(rows) + 1) * width < 1 << 31 else np.int64
+    row, column = np.zeros(symbols, kind), np.zeros(symbols, kind)
+    row[rows], column[columns] = np.arange(1, len(rows) + 1) * width, np.arange(1, width)
+    number = np.arange(1, len(left) + 1, dtype=np.int32)
+    cell = row[sequence[:-1]] + column[sequence[1:]]
+    if (len(rows) + 1) * width <= 1 << 24:
+        table = np.zeros((len(rows) + 1) * width, np.int32)
+        table[row[left] + column[right]] = number
+        return table[cell]
+    wanted = row[left] + column[right]
+    order = np.argsort(wanted)
+    at = np.minimum(np.searchsorted(wanted[order], cell), len(order) - 1)
+    return np.where(wanted[order][at] == cell, number[order][at], 0)
+
+
+def _levels(rules: np.ndarray, first_symbol: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules of which none refers to another of its own range."""
+    top = rules.max(axis=1).astype(np.int64) - first_symbol if len(rules) else np.zeros(0, np.int64)
+    a = 0
+    while a < len(rules):
+        inside = np.flatnonzero(top[a:] >= a)
+        b = a + int(inside[0]) if len(inside) else len(rules)
+        if b == a:
+            raise ValueError("a rule refers to itself or a later one")
+        yield a, b
+        a = b
 
 
 class Grammar:
@@ -232,10 +333,10 @@ class Grammar:
     @classmethod
     def of(cls, ids: np.ndarray, first_symbol: int, **how) -> Grammar:
         rules, sequence = repair(ids, first_symbol, **how)
-        lengths: list[int] = []
-        for left, right in rules.tolist():
-            lengths.append(sum(1 if s < first_symbol else lengths[s - first_symbol] for s in (left, right)))
-        return cls(first_symbol, rules, np.array(lengths, np.uint32), sequence)
+        lengths = np.ones(len(rules) + 1, np.uint32)  # the first is a terminal's
+        for a, b in _levels(rules, first_symbol):
+            lengths[a + 1 : b + 1] = lengths[np.maximum(rules[a:b].astype(np.int64) - first_symbol + 1, 0)].sum(axis=1)
+        return cls(first_symbol, rules, lengths[1:], sequence)
 
     def to_bytes(self) -> bytes:
         head = _HEAD.pack(b"TMRP", 1, self.first_symbol, len(self.rules), len(self.sequence))
@@ -258,16 +359,13 @@ class Grammar:
             lengths = np.concatenate(([1], self.lengths.astype(np.int64)))
             starts = np.cumsum(lengths) - lengths
             flat = np.zeros(int(lengths.sum()), np.uint32)
-            for k, (left, right) in enumerate(self.rules.tolist()):
-                at = int(starts[k + 1])
-                for symbol in (left, right):
-                    if symbol < self.first_symbol:
-                        flat[at] = symbol
-                        at += 1
-                    else:
-                        n, own = int(lengths[symbol - self.first_symbol + 1]), int(starts[symbol - self.first_symbol + 1])
-                        flat[at : at + n] = flat[own : own + n]
-                        at += n
+            for a, b in _levels(self.rules, self.first_symbol):
+                children = self.rules[a:b].astype(np.int64)
+                rule = np.maximum(children - self.first_symbol + 1, 0)
+                at = np.stack((starts[a + 1 : b + 1], starts[a + 1 : b + 1] + lengths[rule[:, 0]]), axis=1).ravel()
+                rule, n, children = rule.ravel(), lengths[rule.ravel()], children.ravel()
+                flat[_ranges(at, n)] = flat[_ranges(starts[rule], n)]
+                flat[at[rule == 0]] = children[rule == 0]
             self._expanded = flat, lengths, starts
         return self._expanded
 
@@ -298,7 +396,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
     """Write the ids of all texts in ascending order of id: a row for each block."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    ordered = docs.select(id_col, text_col).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), id_col).sortWithinPartitions(id_col, text_col)
+    ordered = docs.select(id_col, text_col).withColumnsRenamed({id_col: "id", text_col: "text"})
+    # rows of one id, or without an id, are dealt out by the beginnings of their texts
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartitionByRange(parts, "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard = encoder(tokenizer_file), TaskContext.get().partitionId()
@@ -314,10 +415,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "start", "n_tokens", "doc_ids", "doc_tokens", "grammar"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
-                own, n = coder.encode([t or "" for t in part.column(1).to_pylist()], end_id)
-                ids.append(own), sizes.append(n), names.append(part.column(0))
+            texts = kernels.texts_of(batch.column(1))
+            for at, to in kernels.blocks(texts, PORTION_BYTES):
+                own, n = coder.encode(texts[at:to], end_id)
+                ids.append(own), sizes.append(n), names.append(batch.column(0).slice(at, to - at))
                 held += len(own)
                 if held >= block_tokens:
                     yield block()
@@ -325,7 +426,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
                     ids, sizes, names = [], [], []
         if held:
             yield block()
-        coder.forget()  # the worker lives on
 
     schema = f"shard long, block long, start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, grammar binary"
     ordered.mapInArrow(kernels.freed(run), schema).write.mode("overwrite").parquet(path)
