@@ -3,6 +3,8 @@
 import re
 from html import unescape
 
+import numpy as np
+
 from tidemark.llm import html_text as H
 
 SCHEMA = "page_id long, url string, html string, text string"
@@ -52,3 +54,64 @@ def test_pages_table(spark):
         article = re.search(r"<article>(.*?)(</article>|\Z)", html[r.page_id], re.S)[1]
         blocks = re.split(r"</?(?:p|h1|br|b)>", re.sub(r"</?b>|<br>", "", article))
         assert r.text == "\n".join(x for x in (" ".join(unescape(b).split()) for b in blocks) if x)
+
+
+def site(k, rng, host="d.example.com"):
+    """A page without article or main: menu, a boxed advert without a telling name, the text, and a line of the site."""
+    words = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 9999, n))
+    body = "".join(f"<p>{words(rng.integers(5, 60))}</p>" for _ in range(rng.integers(1, 6)))
+    links = "".join(f"<i><a href='/{x}'>{words(1)}</a></i>" for x in range(rng.integers(2, 5)))
+    html = f"<html><body><div class='top'><b>The site of all sites</b>{links}</div><div class='box{k}'><span>{words(4)}</span></div><div class='text'><h1>{words(5)}</h1>{body}<small>Printed by the site</small></div><div class='end'>Made in {words(1)}</div></body></html>"
+    want = "\n".join(" ".join(x.split()) for x in re.findall(r"<(?:h1|p)>(.*?)</(?:h1|p)>", html))
+    return (k, f"https://{host}/{k}", html, "clash"), want
+
+
+def brute_classes(pages):
+    """Tokens of valid classes by their whole occurrence vectors."""
+    vectors = {}
+    for k, html in enumerate(pages):
+        for token, *_ in H.parse(html)[0]:
+            if token:
+                vectors.setdefault(token, [0] * len(pages))[k] += 1
+    classes = {}
+    for token, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(token)
+    return {frozenset(t) for v, t in classes.items() if len(t) >= H.LEAST_TOKENS and sum(x > 0 for x in v) >= H.LEAST_PAGES and 2 * sum(x > 0 for x in v) > len(pages)}
+
+
+def test_templates_match_brute_force_and_names_do_not_decide(spark):
+    rng = np.random.default_rng(8)
+    rows, want = zip(*(site(k, rng) for k in range(40)))
+    df = spark.createDataFrame(list(rows), SCHEMA).repartition(5)
+    got = H.template_tokens(df.selectExpr("'h' as host", "page_id", "html")).collect()
+    classes = {}
+    for r in got:
+        classes.setdefault(r["class"], set()).add(r.token & H._MASK)
+    assert {frozenset(t) for t in classes.values()} == brute_classes([r[2] for r in rows])
+    texts = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert [texts[k] for k in range(40)] == list(want)
+    assert H.main_text(rows[0][2]) != want[0]  # without its host's template the page shows its menu
+
+
+def test_classes_that_do_not_nest_are_left_out():
+    one, two = [(t, H._TAG, 1, k, 1, 1, 0, 0, 9) for k, t in enumerate((11, 12, 13))], [(t, H._TAG, 2, k + 0.5, 1, 1, 0, 0, 9) for k, t in enumerate((21, 22, 23, 24))]
+    template = H.Template(one + two)
+    page = lambda *tokens: [(t, None, None, True) for t in tokens]
+    assert template.left_out(page(11, 12, 21, 22, 23, 24, 13, 99)) == set()
+    assert template.left_out(page(11, 12, 13, 11, 12, 13)) == set()
+    assert template.left_out(page(11, 21, 12, 22, 23, 24, 13)) == {1}
+    assert template.left_out(page(12, 11, 13, 21, 22, 23, 24)) == {1}
+    assert template.left_out(page(11, 12, 13, 21, 22, 23)) == {2}
+
+
+def test_cost_is_linear():
+    import time
+
+    def seconds(html):
+        began = time.perf_counter()
+        H.main_text(html)
+        return time.perf_counter() - began
+
+    for piece in ('<a "', "<a '", "<div>", "<div></b>", "<!--", "<b x=\"y\" '"):
+        assert seconds(piece * 100_000) < 20 * seconds(piece * 20_000) + 1, piece
+        assert seconds(piece * 100_000) < 30

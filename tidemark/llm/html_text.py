@@ -1,26 +1,35 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Tokens of a page are its tags, each with the path of open elements, and its text nodes, each with path
-and text. Over the pages of a host, tokens with the same occurrence vector (how often on which page) form
-an equivalence class. Vectors are compared by order-free hashes that add up page by page, so no host's
-pages are gathered. Classes of several tokens that are on most pages of the host are valid and nest into
-its template: the class that every page has once is the root, the others fill its slots. What is left
-between template tokens are the slots' data.
-
-Text outside the template is extracted from the slots that lie in the main element (article or main), or
-without one from all slots, except slots in menus, headers, footers, sidebars, notices, adverts, forms
-and comments. A text node of the template is left out, unless it stands in the main element: there a
-text that most pages share is a copied article.
+Tokens of a page are its opening and closing tags, each with the path of open elements (names and classes),
+and its text nodes, each with path and text. Over the pages of a host, tokens with the same occurrence vector
+(how often on which page) form an equivalence class. Vectors are compared by order-free hashes that add up
+page by page, so no host's pages are gathered. Classes of several tokens that are on most pages of the host
+are valid; the mean place of a token is its place in its class.
+
+On a page the valid classes nest into the template: their tokens must come in the classes' order, again and
+again, and an instance of one class must lie within one slot (the gap between two neighbouring tokens) of
+another's. A class that breaks this on a page is left out there. What stands in the slots is the page's data.
+
+The host's template also has a tree of the elements that each of its pages has once. From the root it is
+followed to the element that holds over half of the data of the one above, as far as there is one; the
+template's own texts do not count. That element holds the main text: the data of the slots in it are
+extracted. Names of elements and classes only settle what slots cannot: menus, headers, footers, sidebars,
+notices, adverts, forms and comments do not count as data, ``article`` and ``main`` are not split further, and
+a text in those that most pages share is a copied article, not the template's. Hosts with too few pages for a
+template, and pages that lack its main element, fall back to these names.
 
 Defined cases: null html counts as empty and gives an empty text; a null or odd URL belongs to a host of
-its own name; hosts with few pages have no template; repeated rows each give their row; unclosed tags end
-with an enclosing element or the page. Columns besides id, url and html are not read.
+its own name; repeated rows each give their row; unclosed tags end with an enclosing element or the page; a
+tag of over 400 quoted or plain pieces is text. Columns besides id, url and html are not read.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -30,16 +39,20 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import kernels, shared
 
-#: Bytes of all templates up to which they are sent to every task; beyond it pages are joined to them by host.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of templates in one file; a page's task reads the file of its host.
+FILE_BYTES = 4 << 20
 #: Pages with a token, and tokens in a class, for the class to be valid.
 LEAST_PAGES = 3
 LEAST_TOKENS = 3
 _HELD_TOKENS = 200_000
 _SIGNED = 1 << 63
+_MASK = (1 << 64) - 1
+_TAG, _TEXT = 0, 1
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    # of a tag at most 400 pieces are read, so that quotes that never close cost a bounded time at each place
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*'){0,400}+)>|<[!?/][^>]*>",
     re.S | re.I,
 )
 #: One attribute: its name, and its value in double, single or no quotes.
@@ -62,12 +75,13 @@ _SPLIT_NAME = re.compile(r"[\s_-]+")
 
 
 class _Node:
-    """An open element."""
+    """An open element; the path is a hash of the names and classes down to it."""
 
-    __slots__ = ("name", "path", "beside", "main")
+    __slots__ = ("name", "path", "up", "beside", "main", "volume", "inside")
 
-    def __init__(self, name: str, path: str, beside: bool, main: bool):
-        self.name, self.path, self.beside, self.main = name, path, beside, main
+    def __init__(self, name: str, path: int, up: _Node | None, beside: bool, main: bool):
+        self.name, self.path, self.up, self.beside, self.main = name, path, up, beside, main
+        self.volume, self.inside = 0, False
 
 
 def _is_beside(name: str, attributes: str, inside_main: bool) -> bool:
@@ -95,15 +109,38 @@ def _is_beside(name: str, attributes: str, inside_main: bool) -> bool:
     return False
 
 
-def parse(html: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
-    """(token, text, beside, main, breaks) of tags (text None) and text nodes in page order."""
-    stack = [_Node("", "", False, False)]
+_CLASS = re.compile(r"(?:^|\s)class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+
+
+@lru_cache(100_000)
+def _step(path: int, name: str) -> int:
+    return xxhash.xxh64_intdigest(name, path)
+
+
+def _named(name: str, attributes: str) -> str:
+    """The element's name with its classes, without digits."""
+    found = _CLASS.search(attributes) if attributes else None
+    return f"{name}.{_DIGITS.sub('', (found[1] or found[2] or found[3] or '').lower())}" if found else name
+
+
+def parse(html: str) -> tuple[list[tuple[int, str | None, _Node, bool]], list[_Node]]:
+    """(token, text, element, breaks) of tags (text None) and text nodes in page order, and all elements in order.
+
+    White space alone is text without a token (0)."""
+    root = _Node("", 1, None, False, False)
+    stack, nodes, out, opened = [root], [root], [], Counter()
     at = 0
+
+    def text(piece: str) -> None:
+        top, bare = stack[-1], piece.strip()
+        out.append((xxhash.xxh64_intdigest(bare, top.path) if bare else 0, piece, top, False))
+        if not top.beside:
+            top.volume += len(bare)
+
     for match in _MARKUP.finditer(html):
         if match.start() > at:
-            text = html[at : match.start()]
-            top = stack[-1]
-            yield f"{top.path}\n{text.strip()}", text, top.beside, top.main, False
+            text(html[at : match.start()])
         at = match.end()
         name = (match[3] or "").lower()
         if not name:
@@ -112,47 +149,131 @@ def parse(html: str) -> Iterator[tuple[str, str | None, bool, bool, bool]]:
         if match[2]:
             if name in _VOID:
                 continue
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if k:
-                del stack[k:]
-            yield f"{stack[-1].path}/-{name}", None, False, False, breaks
+            if opened[name]:
+                while True:
+                    ended = stack.pop().name
+                    opened[ended] -= 1
+                    if ended == name:
+                        break
+            out.append((_step(stack[-1].path, "-" + name), None, stack[-1], breaks))
             continue
         if name in ("p", "li") and stack[-1].name == name:  # their end tags may be left out
             stack.pop()
+            opened[name] -= 1
         top = stack[-1]
-        path = f"{top.path}/{name}"
-        yield path, (" " if name == "br" else None), top.beside, top.main, breaks
-        if name in _MAIN and top.beside and not top.main:  # an unclosed menu ends where the article begins
-            top = stack[0]
-        if name not in _VOID and not match[4].endswith("/"):
-            beside = top.beside or _is_beside(name, match[4], top.main or name in _MAIN)
-            stack.append(_Node(name, path, beside, top.main or name in _MAIN))
+        path = _step(top.path, _named(name, match[4]))
+        out.append((path, " " if name == "br" else None, top, breaks))
+        if name in _VOID or match[4].endswith("/"):
+            continue
+        main = name in _MAIN
+        if main and top.beside and not top.main:  # an unclosed menu ends where the article begins
+            top = root
+        node = _Node(name, path, stack[-1], top.beside or _is_beside(name, match[4], top.main or main), top.main or main)
+        stack.append(node)
+        nodes.append(node)
+        opened[name] += 1
     if at < len(html):
-        top = stack[-1]
-        yield f"{top.path}\n{html[at:].strip()}", html[at:], top.beside, top.main, False
+        text(html[at:])
+    for node in reversed(nodes):
+        if node.up is not None:
+            node.up.volume += node.volume
+    return out, nodes
+
+
+def _blocks(events: list, keep) -> str:
+    """The kept texts, blocks joined by newlines."""
+    parts: list[list[str]] = [[]]
+    for event in events:
+        if event[3]:
+            parts.append([])
+        if event[1] is not None and keep(event):
+            parts[-1].append(event[1])
+    lines = (" ".join(unescape("".join(p)).split()) for p in parts if p)
+    return "\n".join(line for line in lines if line)
 
 
-def _key(token: str) -> int:
-    return xxhash.xxh64_intdigest(token) - _SIGNED
+def by_names(events: list, nodes: list[_Node]) -> str:
+    """Main text by names of elements and classes alone: what is in an article or main, or else anywhere but beside."""
+    any_main = any(e[2].main and not e[2].beside and e[1] is not None and e[1].strip() for e in events)
+    return _blocks(events, lambda e: not e[2].beside and (e[2].main or not any_main))
+
+
+class Template:
+    """A host's template, from rows (token, kind, class, place, once, up, main, volume, support)."""
+
+    def __init__(self, rows: list[tuple[int, int, int, float, int, int, int, int, int]]):
+        order: dict[int, list[int]] = {}
+        for token, _, own, *_ in sorted(rows, key=lambda r: (r[3], r[0])):
+            order.setdefault(own, []).append(token)
+        self.rank = {t: (own, k) for own, tokens in order.items() for k, t in enumerate(tokens)}
+        self.last = {own: len(tokens) - 1 for own, tokens in order.items()}
+        self.texts = {r[0] for r in rows if r[1] == _TEXT}
+        self.main_element = self._main_element(rows)
+
+    @staticmethod
+    def _main_element(rows: list) -> int | None:
+        """Path of the element that holds the main text; None if the template has no text's element."""
+        single = {r[0]: r for r in rows if r[1] == _TAG and r[4]}
+        volume = {t: r[7] for t, r in single.items()}
+        for _, kind, _, _, _, up, _, size, _ in rows:  # the template's own texts are no data
+            while kind == _TEXT and up in single:
+                volume[up] -= size
+                up = single[up][5]
+        below: dict[int, list[int]] = {}
+        for t, r in single.items():
+            below.setdefault(r[5], []).append(t)
+        at, size = None, None
+        while True:
+            best = max(below.get(at if at is not None else 1, ()), key=lambda t: (volume[t], t), default=None)
+            if best is None or volume[best] <= (0 if size is None else size / 2):
+                return at
+            at, size = best, volume[best]
+            if single[at][6]:
+                return at
+
+    def left_out(self, events: list) -> set[int]:
+        """The classes whose tokens do not nest on a page."""
+        known = [self.rank[e[0]] for e in events if e[0] in self.rank]
+        out: set[int] = set()
+        while True:
+            broken, stack = None, []
+            for own, k in known:
+                if own in out:
+                    continue
+                if k == 0:
+                    stack.append([own, 0])
+                elif stack and stack[-1] == [own, k - 1]:
+                    stack[-1][1] = k
+                    if k == self.last[own]:
+                        stack.pop()
+                else:
+                    broken = min({own, *(s[0] for s in stack[-1:])}, key=lambda c: (self.last[c], c != own, c))
+                    break
+            if broken is None and stack:
+                broken = min((s[0] for s in stack), key=lambda c: (self.last[c], c))
+            if broken is None:
+                return out
+            out.add(broken)
+
+
+def main_text(html: str, template: Template | None = None) -> str:
+    """Main text of a page: blocks joined by newlines."""
+    events, nodes = parse(html)
+    if template is None or template.main_element is None:
+        return by_names(events, nodes)
+    for node in nodes:
+        node.inside = node.path == template.main_element or (node.up is not None and node.up.inside)
+    if not any(n.inside for n in nodes):
+        return by_names(events, nodes)
+    out = template.left_out(events)
 
+    def is_data(event: tuple) -> bool:
+        token, _, node, _ = event
+        if node.beside or not node.inside:
+            return False
+        return node.main or token not in template.texts or template.rank[token][0] in out
 
-def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
-    """Main text of a page: blocks joined by newlines."""
-    blocks: list[tuple[bool, list[str]]] = [(False, [])]
-    any_main = False
-    for token, text, beside, main, breaks in parse(html):
-        if breaks:
-            blocks.append((False, []))
-        if text is None or beside:
-            continue
-        if not main and _key(token) in template and text.strip():
-            continue
-        if main != blocks[-1][0]:
-            blocks.append((main, []))
-        blocks[-1][1].append(text)
-        any_main = any_main or main
-    lines = (" ".join(unescape("".join(parts)).split()) for main, parts in blocks if parts and (main or not any_main))
-    return "\n".join(line for line in lines if line)
+    return _blocks(events, is_data)
 
 
 def host_of(url: Column) -> Column:
@@ -161,78 +282,132 @@ def host_of(url: Column) -> Column:
     return F.lower(place)
 
 
+_TOKENS = "host string, token long, kind long, up long, main long, once long, support long, vector1 long, vector2 long, place long, volume long"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= _SIGNED else x
+
+
 def _occurrences(pages: DataFrame) -> DataFrame:
-    """host, token, text (whether it is one), support, vector1, vector2: parts to be added up."""
+    """Parts of the numbers of each token of each host, to be added up; token 1 stands for the page itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
 
         def flush() -> pa.RecordBatch:
+            names = [c.split()[0] for c in _TOKENS.split(", ")]
             keys, numbers = list(held), list(held.values())
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64())]
-            columns += [pa.array([n[c] for n in numbers], pa.int64()) for c in range(4)]
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([_signed(k[1]) for k in keys], pa.int64())]
+            columns += [pa.array([_signed(n[c]) for n in numbers], pa.int64()) for c in range(9)]
             held.clear()
-            return pa.RecordBatch.from_arrays(columns, names=["host", "token", "is_text", "support", "vector1", "vector2"])
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             for host, page, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                seen: dict[int, list[int]] = {_key(""): [1, 0]}
-                for token, text, *_ in parse(html or ""):
-                    seen.setdefault(_key(token), [0, int(text is not None)])[0] += 1
-                for token, (n, is_text) in seen.items():
+                events, nodes = parse(html or "")
+                seen: dict[int, list] = {1: [1, _TAG, 0, 0, 0, 0]}  # count, kind, up, main, place, volume
+                for k, (token, text, node, _) in enumerate(events):
+                    if token in seen:
+                        seen[token][0] += 1
+                        seen[token][5] += len(text.strip()) if text else 0
+                    elif token:
+                        is_text = text is not None and text.strip() != ""
+                        seen[token] = [1, _TEXT if is_text else _TAG, node.path, 0, k, len(text.strip()) if is_text else 0]
+                for node in nodes[1:]:
+                    own = seen[node.path]
+                    own[3], own[5] = int(node.name in _MAIN), own[5] + node.volume
+                for token, (n, kind, up, main, place, volume) in seen.items():
                     own = xxhash.xxh64_intdigest(f"{page} {n}")
                     numbers = held.get((host, token))
                     if numbers is None:
-                        held[host, token] = [is_text, 1, own - _SIGNED, own & 0x7FFFFFFF]
+                        held[host, token] = [kind, up, main, int(n == 1), 1, own, own & 0x7FFFFFFF, place, volume]
                     else:
-                        numbers[1] += 1
-                        numbers[2] ^= own - _SIGNED
-                        numbers[3] += own & 0x7FFFFFFF
+                        numbers[3] &= int(n == 1)
+                        numbers[4] += 1
+                        numbers[5] ^= own
+                        numbers[6] += own & 0x7FFFFFFF
+                        numbers[7] += place
+                        numbers[8] += volume
                 if len(held) > _HELD_TOKENS:
                     yield flush()
         if held:
             yield flush()
 
-    return pages.mapInArrow(kernels.freed(run), "host string, token long, is_text long, support long, vector1 long, vector2 long")
+    return pages.mapInArrow(kernels.freed(run), _TOKENS)
+
 
+def template_tokens(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
+    """host, token, kind, class, place, once, up, main, volume, support of the tokens of valid classes.
 
-def templates(pages: DataFrame, *, least_pages: int = LEAST_PAGES, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """host, and the tokens of its template that are texts. ``pages``: host, id, html."""
-    tokens = _occurrences(pages).groupBy("host", "token").agg(F.max("is_text").alias("is_text"), F.sum("support").alias("support"), F.bit_xor("vector1").alias("vector1"), F.sum("vector2").alias("vector2"))
+    ``pages``: host, id, html. A token's support is the number of pages with it."""
+    added = [F.sum(c).alias(c) for c in ("support", "vector2", "place", "volume")]
+    tokens = _occurrences(pages).groupBy("host", "token").agg(F.max("kind").alias("kind"), F.max("up").alias("up"), F.max("main").alias("main"), F.min("once").alias("once"), F.bit_xor("vector1").alias("vector1"), *added)
     tokens = shared.written(tokens, "tokens")  # read three times; pages are parsed once for it
-    whole = F.max_by("support", F.col("token") == _key("")).alias("pages")
-    classes = tokens.groupBy("host", "support", "vector1", "vector2").agg(F.count(F.lit(1)).alias("size"))
-    hosts = tokens.groupBy("host").agg(whole)
-    # a class is on most pages, so a host has few of them; its texts are at most twice what a page has on average
-    valid = classes.join(hosts, "host").where((F.col("size") >= least_tokens) & (F.col("support") >= least_pages) & (2 * F.col("support") > F.col("pages")))
-    texts = tokens.where("is_text = 1").join(valid.select("host", "support", "vector1", "vector2"), ["host", "support", "vector1", "vector2"], "left_semi")
-    return texts.groupBy("host").agg(F.collect_set("token").alias("template"))
+    vector = ["host", "support", "vector1", "vector2"]
+    # what is on one or two pages can be in no valid class, and is nearly all there is
+    classes = tokens.where((F.col("support") >= least_pages) & (F.col("token") != 1)).groupBy(*vector).agg(F.count(F.lit(1)).alias("size"))
+    hosts = tokens.where("token = 1").select("host", F.col("support").alias("pages"))
+    valid = classes.where(F.col("size") >= least_tokens).join(hosts, "host").where(2 * F.col("support") > F.col("pages")).select(*vector)
+    rows = tokens.where((F.col("support") >= least_pages) & (F.col("token") != 1)).join(valid, vector)
+    own = F.xxhash64("support", "vector1", "vector2").alias("class")
+    return rows.select("host", "token", "kind", own, (F.col("place") / F.col("support")).alias("place"), "once", "up", "main", "volume", "support")
+
+
+def write_templates(tokens: DataFrame) -> tuple[str, int]:
+    """Files of the hosts' templates in the shared folder, and their number; a host's file is chosen by its hash."""
+    spark = tokens.sparkSession
+    kept = shared.written(tokens, "templates")
+    number = max(1, -(-80 * kept.count() // FILE_BYTES))
+    folder = shared.fresh_path(spark, "hosts")
+    # a class is on most pages of its host, so a host has few: twice the tokens of a page on average
+    fields = F.array("token", "kind", "class", F.round(F.col("place") * 1000).cast("long"), "once", "up", "main", "volume", "support")
+    by_host = kept.groupBy("host").agg(F.collect_list(fields).alias("rows")).withColumn("file", F.pmod(F.xxhash64("host"), F.lit(number)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[str, list]] = {}
+        for batch in batches:
+            for host, rows, file in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                held.setdefault(file, {})[host] = rows
+        for file, hosts in held.items():
+            shared.put_file(f"{folder}/{file}.json", json.dumps(hosts, sort_keys=True).encode())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64())], names=["file"])
+
+    by_host.repartition("file").mapInArrow(kernels.freed(run), "file long").count()
+    shared.drop(kept)
+    return folder, number
+
+
+def _reader(folder: str):
+    """A function from a host and its file to the host's template, or None; it keeps the last files and templates."""
+
+    @lru_cache(4)
+    def hosts(file: int) -> dict[str, list]:
+        data = shared.get_file(f"{folder}/{file}.json")
+        return json.loads(data) if data else {}
+
+    @lru_cache(256)
+    def template(host: str, file: int) -> Template | None:
+        rows = hosts(file).get(host)
+        return Template([(r[0] & _MASK, r[1], r[2], r[3] / 1000, r[4], r[5] & _MASK, *r[6:]) for r in rows]) if rows else None
+
+    return template
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **how) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of(F.col("url")))
-    found = shared.written(templates(rows.select("host", "page_id", "html")), "templates")
-    size = found.agg(F.sum(8 * F.size("template") + F.length("host") + 32)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        found = F.broadcast(found)
+    folder, number = write_templates(template_tokens(rows.select("host", "page_id", "html"), **how))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple, frozenset[int]] = {}
+        template = _reader(folder)
         for batch in batches:
-            texts = []
-            for html, template in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                key = tuple(template or ())
-                if key not in known:
-                    known.clear() if len(known) > 1000 else None
-                    known[key] = frozenset(key)
-                texts.append(main_text(html or "", known[key]))
+            texts = [main_text(html or "", template(host, file)) for html, host, file in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    with_template = rows.join(found, "host", "left").select("page_id", "url", "html", "template")
-    return with_template.mapInArrow(kernels.freed(run), f"page_id {kind}, url string, text string, n_chars long")
+    return rows.withColumn("file", F.pmod(F.xxhash64("host"), F.lit(number))).mapInArrow(kernels.freed(run), f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:

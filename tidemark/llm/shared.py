@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder as a URI; sets a temporary one only where the session names none."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: the driver and the executors need a folder that they share")
         conf = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf.rstrip("/")
@@ -93,6 +95,23 @@ def put_file(uri: str, data: bytes) -> None:
     os.replace(part, path)
 
 
+def get_file(uri: str) -> bytes:
+    """A whole file of the shared folder; nothing if there is no such file."""
+    path = _local(uri)
+    if path is not None:
+        if not os.path.exists(path):
+            return b""
+        with open(path, "rb") as src:
+            return src.read()
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(uri)
+    if store.get_file_info(inner).type == fs.FileType.NotFound:
+        return b""
+    with store.open_input_stream(inner) as src:
+        return src.read()
+
+
 def map_file(uri: str, dtype):
     """A file of the shared folder as a memory-mapped numpy array; empty if there is no such file.
 
