@@ -75,3 +75,31 @@ def test_empty(spark):
     docs, bench = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     assert D.contaminated(docs, bench).count() == 0
     assert D.drop_contaminated(spark.createDataFrame([(1, "a", None)], DOCS), bench).count() == 1
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([("", "one two three four five six"), ("b", None), (None, "ONE two, three four five six")], "doc_id string, text string")
+    items = spark.createDataFrame([("", "one two three four five six"), (None, "x"), ("k", "nothing like it at all here")], "item_id string, text string")
+    assert sorted((str(r.doc_id), r.item_id) for r in D.contaminated(docs, items).collect()) == [("", ""), ("None", "")]
+
+
+def test_lookup_finds_all_within_the_radius():
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 50, 30)).encode() for _ in range(200)]
+    (length,) = D.index_items(list(range(200)), texts).lengths
+    codes = np.concatenate((length.codes ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)), rng.integers(0, 1 << 63, 300, dtype=np.uint64)))
+    want = {(a, b) for a in range(len(codes)) for b in range(200) if bin(int(codes[a] ^ length.codes[b])).count("1") <= length.radius}
+    assert set(zip(*(x.tolist() for x in length.lookup(codes)))) == want and len(want) >= 200
+
+
+def test_recall_at_the_least_similarity():
+    """Pairs of windows just above similarity 0.8: nearly all lie within the radius that their length gives."""
+    rng = np.random.default_rng(10)
+    for n in (9, 12, 20, 45, 130):
+        away = n - int(np.ceil(2 * n * 0.8 / 1.8 - 1e-9))
+        a = rng.integers(0, 1 << 63, (500, n), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (500, n), dtype=np.uint64)
+        b = a.copy()
+        b[:, :away] = rng.integers(0, 1 << 63, (500, away), dtype=np.uint64) * np.uint64(2)
+        code = lambda x: D._fingerprint(D._bits(x.ravel()).reshape(500, n, 64).sum(1, dtype=np.int64), np.full(500, n))  # noqa: B023, E731
+        assert (np.bitwise_count(code(a) ^ code(b)) <= D.radius_for(n)).mean() > 0.995, n
+    assert [D.radius_for(n) for n in (1, 5, 8)] == [0, 0, 0]

@@ -1,13 +1,19 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 For each benchmark item the windows of a document that are as many words long as the item (the whole
-document if that is shorter) are compared with it. A window's SimHash is looked up in a multi-index:
-``radius`` + 1 blocks of bits, one of which is equal whenever two fingerprints are within the radius, so
-none within it is missed. Candidates are verified by the exact weighted similarity of their five-word
-shingles (each counted as often as it occurs): shared weight over joint weight, 0.8 or more.
+document if that is shorter) are compared with it. Items of one length share a multi-index: their SimHashes
+are entered in tables by each of ``radius`` + 1 blocks of bits, one of which is equal whenever two
+fingerprints are within the radius. A window's SimHash is looked up in all tables, so none within the radius
+is missed. Candidates are verified by the exact weighted similarity of their five-word shingles (each counted
+as often as it occurs): shared weight over joint weight, 0.8 or more.
 
-Windows without any shingle of an item have similarity 0 with it, so only windows around shared
-shingles are fingerprinted; that loses nothing and keeps the cost proportional to the text.
+The radius follows from the number of shingles: at the least similarity a bit differs with probability
+arccos(shared share) / pi, and more bits than the radius differ with a probability below ``MISSED`` (0 bits
+where the least similarity leaves no shingle to differ; about 24 else).
+
+Not every window is fingerprinted: one of similarity 0.8 with an item of n shingles has at least 8/9 n places
+with shingles of items of that length, so windows with fewer are passed over. That loses nothing and keeps
+the cost proportional to the text, whatever items have in common.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased; an item with fewer than five
 words is one shingle. Items are shipped to tasks in blocks of a bounded size, one pass over the
@@ -20,6 +26,7 @@ passed through untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,8 +41,8 @@ from tidemark.llm import kernels
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Fingerprints of windows at similarity 0.8 differ in about 10 of 64 bits (deviation 3).
-RADIUS = 20
+#: Probability with which a pair of the least similarity may lie beyond the radius.
+MISSED = 1e-6
 #: Bytes of item texts that one pass holds.
 ITEM_BLOCK_BYTES = 4 << 20
 _GATE = 20
@@ -54,45 +61,83 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
 
+def radius_for(n: int, similarity: float = SIMILARITY, missed: float = MISSED) -> int:
+    """Bits by which the SimHashes of two windows of n shingles each may differ at the least similarity."""
+    shared = math.ceil(2 * n * similarity / (1 + similarity) - 1e-9)
+    if shared >= n:
+        return 0
+    p, tail = math.acos(shared / n) / math.pi, 1.0
+    for r in range(65):
+        tail -= math.comb(64, r) * p**r * (1 - p) ** (64 - r)
+        if tail < missed:
+            return r
+    return 64
+
+
+@dataclass
+class Length:
+    """The items of one length: their shingles, fingerprints and the multi-index over these."""
+
+    words: int
+    size: int  # words of a shingle
+    items: np.ndarray
+    shingles: np.ndarray  # sorted
+    codes: np.ndarray
+    radius: int
+    tables: list[tuple[np.uint64, np.ndarray, np.ndarray]]  # mask, sorted values, items' places
+
+    @property
+    def n(self) -> int:
+        return self.words - self.size + 1
+
+    def lookup(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in codes, place in items) of all pairs within the radius."""
+        found = [np.zeros(0, np.int64)]
+        for mask, values, place in self.tables:
+            low, high = (np.searchsorted(values, codes & mask, side) for side in ("left", "right"))
+            row, k = _expand(high - low)
+            found.append(row * len(self.items) + place[low[row] + k])
+        row, item = np.divmod(np.unique(np.concatenate(found)), len(self.items))
+        near = np.bitwise_count(codes[row] ^ self.codes[item]) <= self.radius
+        return row[near], item[near]
+
+
 @dataclass
 class Items:
-    """Index of some benchmark items; ``groups``: for each shingle size what is needed to find them."""
+    """Index of some benchmark items."""
 
     ids: list
-    words: np.ndarray
     shingle_counts: list[Counter]
-    groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted hashes, their items, gate
-    codes: np.ndarray
-    radius: int
+    lengths: list[Length]
+    gates: dict[int, np.ndarray]  # by shingle size: whether a shingle's first bits occur
     similarity: float
 
-    def block_masks(self) -> list[int]:
-        n = self.radius + 1
-        return [sum(1 << b for b in range(64 * k // n, 64 * (k + 1) // n)) for k in range(n)]
 
-
-def index_items(ids: list, texts: list[bytes], *, size: int = SHINGLE, radius: int = RADIUS, similarity: float = SIMILARITY) -> Items:
-    words, counts, codes = np.zeros(len(texts), np.int64), [], np.zeros(len(texts), np.uint64)
-    by_size: dict[int, tuple[list, list]] = {}
+def index_items(ids: list, texts: list[bytes], *, size: int = SHINGLE, similarity: float = SIMILARITY, missed: float = MISSED) -> Items:
+    counts: list[Counter] = []
+    by_words: dict[int, list[tuple[int, np.ndarray]]] = {}
     for k, text in enumerate(texts):
         block = kernels.Block([text], word_table=kernels.WORDLIKE)
-        words[k] = n = len(block.starts)
+        n = len(block.starts)
         own = kernels.shingles(block.word_hash(), min(size, n)) if n else np.zeros(0, np.uint64)
         counts.append(Counter(own.tolist()))
         if n:
-            codes[k] = _fingerprint(_bits(own).sum(0)[None, :], np.array([len(own)]))[0]
-            hashes, items = by_size.setdefault(min(size, n), ([], []))
-            kinds = np.unique(own)
-            hashes.append(kinds)
-            items.append(np.full(len(kinds), k))
-    groups = {}
-    for s, (hashes, items) in by_size.items():
-        h, i = np.concatenate(hashes), np.concatenate(items)
-        order = np.argsort(h, kind="stable")
-        gate = np.zeros(1 << _GATE, bool)
-        gate[h >> np.uint64(64 - _GATE)] = True
-        groups[s] = (h[order], i[order], gate)
-    return Items(ids, words, counts, groups, codes, radius, similarity)
+            by_words.setdefault(n, []).append((k, own))
+    lengths, gates = [], {}
+    for n, some in sorted(by_words.items()):
+        s = min(size, n)
+        codes = np.concatenate([_fingerprint(_bits(own).sum(0, dtype=np.int64)[None, :], np.array([len(own)])) for _, own in some])
+        radius = radius_for(n - s + 1, similarity, missed)
+        tables = []
+        for b in range(radius + 1):
+            mask = np.uint64(sum(1 << k for k in range(64 * b // (radius + 1), 64 * (b + 1) // (radius + 1))))
+            order = np.argsort(codes & mask, kind="stable")
+            tables.append((mask, (codes & mask)[order], order))
+        shingles = np.unique(np.concatenate([own for _, own in some]))
+        lengths.append(Length(n, s, np.array([k for k, _ in some]), shingles, codes, radius, tables))
+        gate = gates.setdefault(s, np.zeros(1 << _GATE, bool))
+        gate[shingles >> np.uint64(64 - _GATE)] = True
+    return Items(ids, counts, lengths, gates, similarity)
 
 
 def _expand(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,63 +154,75 @@ def find(texts: list[bytes], items: Items) -> list[tuple[int, int, int, int, flo
     return out
 
 
+def _windows(places: np.ndarray, length: Length, block: kernels.Block, owner: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Start and words of the windows that can have the similarity with an item of a length; ``places``: of its shingles."""
+    starts, widths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    share = similarity / (1 + similarity)
+    # windows of the items' length
+    need = math.ceil(2 * length.n * share - 1e-9)
+    if len(places) >= need:
+        first, last = places[: len(places) - need + 1], places[need - 1 :]
+        text = owner[first]
+        close = (last - first < length.n) & (text == owner[last])
+        first, last, text = first[close], last[close], text[close]
+        low = np.maximum(last - length.n + 1, block.first[text])
+        high = np.minimum(first, block.first[text + 1] - length.words)
+        row, k = _expand(np.maximum(high - low + 1, 0))
+        starts.append(np.unique(low[row] + k))
+        widths.append(np.full(len(starts[-1]), length.words))
+    # whole texts that are shorter
+    text, hits = np.unique(owner[places], return_counts=True)
+    n = block.n_words[text] - length.size + 1
+    short = (block.n_words[text] < length.words) & (hits >= share * (n + length.n) - 1e-9)
+    starts.append(block.first[text[short]])
+    widths.append(block.n_words[text[short]])
+    return np.concatenate(starts), np.concatenate(widths)
+
+
 def _find_in_block(block: kernels.Block, items: Items) -> list[tuple[int, int, int, int, float]]:
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     hashed, owner = block.word_hash(), block.text_of_word()
-    for size, (known, known_item, gate) in items.groups.items():
+    for size, gate in items.gates.items():
         grams = kernels.shingles(hashed, size)
         if not len(grams):
             continue
         at = np.flatnonzero(gate[grams >> np.uint64(64 - _GATE)])
         at = at[owner[at] == owner[at + size - 1]]
-        low, high = np.searchsorted(known, grams[at], "left"), np.searchsorted(known, grams[at], "right")
-        row, k = _expand(high - low)
-        if not len(row):
-            continue
-        hit, item = at[row], known_item[low[row] + k]
-        order = np.lexsort((hit, item))
-        hit, item = hit[order], item[order]
-        first, words = block.first[owner[hit]], block.n_words[owner[hit]]
-        width = np.minimum(items.words[item], words)
-        begin = np.maximum(first, hit - (width - size))
-        end = np.minimum(hit, first + words - width)
-        row, k = _expand(end - begin + 1)
-        start = begin[row] + k
-        key = np.unique(np.stack((item[row], start, width[row])), axis=1)
-        w_item, w_start, w_width = key
-        # shared weight is at most the number of places in the window with a shingle of the item
-        span = np.int64(len(hashed) + 1)
-        places = item * span + hit
-        shared = np.searchsorted(places, w_item * span + w_start + w_width - size, "right") - np.searchsorted(places, w_item * span + w_start, "left")
-        n = w_width - size + 1
-        total = n + items.words[w_item] - size + 1
-        some = shared >= items.similarity * (total - shared) - 1e-9
-        needed = np.zeros(len(grams) + 1, np.int64)
-        np.add.at(needed, w_start, 1)
-        np.add.at(needed, w_start + n, -1)
-        inside = np.cumsum(needed)[:-1] > 0
-        compact = np.cumsum(inside) - 1
-        sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(_bits(grams[inside]), axis=0, dtype=np.int64)))
-        code = _fingerprint(sums[compact[w_start] + n] - sums[compact[w_start]], n)
-        for k in np.flatnonzero(_within(code, w_item, items) & some):
-            i, s, w = int(w_item[k]), int(w_start[k]), int(w_width[k])
-            own = Counter(grams[s : s + w - size + 1].tolist())
-            both = sum((own & items.shingle_counts[i]).values())
-            like = both / (own.total() + items.shingle_counts[i].total() - both)
-            text = int(owner[s])
-            if like >= items.similarity and (like, -s) > best.get((text, i), (0.0, 0, 0))[:2]:
-                best[text, i] = (like, -s, w)
+        seen = grams[at]
+        for length in items.lengths:
+            if length.size != size or not len(at):
+                continue
+            k = np.minimum(np.searchsorted(length.shingles, seen), len(length.shingles) - 1)
+            start, width = _windows(at[length.shingles[k] == seen], length, block, owner, items.similarity)
+            if len(start):
+                for i, s, w, like in _similar(grams, start, width, length, items):
+                    text = int(owner[s])
+                    if (like, -s) > best.get((text, i), (0.0, 0, 0))[:2]:
+                        best[text, i] = (like, -s, w)
     return [(t, i, -s - int(block.first[t]), w, like) for (t, i), (like, s, w) in sorted(best.items())]
 
 
-def _within(code: np.ndarray, item: np.ndarray, items: Items) -> np.ndarray:
-    """Whether the multi-index gives the window's item within the radius."""
-    other = items.codes[item]
-    met = np.zeros(len(code), bool)
-    for mask in items.block_masks():
-        met |= (code ^ other) & np.uint64(mask) == 0
-    met[met] = np.bitwise_count(code[met] ^ other[met]) <= items.radius
-    return met
+def _similar(grams: np.ndarray, start: np.ndarray, width: np.ndarray, length: Length, items: Items) -> Iterator[tuple[int, int, int, float]]:
+    """(item, start, words, similarity) of the windows that an item within the radius resembles."""
+    n = width - length.size + 1
+    needed = np.zeros(len(grams) + 1, np.int64)
+    np.add.at(needed, start, 1)
+    np.add.at(needed, start + n, -1)
+    inside = np.cumsum(needed)[:-1] > 0
+    compact = np.cumsum(inside) - 1
+    sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(_bits(grams[inside]), axis=0, dtype=np.int64)))
+    codes = _fingerprint(sums[compact[start] + n] - sums[compact[start]], n)
+    window, place = length.lookup(codes)
+    counted: dict[int, Counter] = {}
+    for k, p in zip(window.tolist(), place.tolist()):
+        s, w, i = int(start[k]), int(width[k]), int(length.items[p])
+        if k not in counted:
+            counted = {k: Counter(grams[s : s + int(n[k])].tolist())}  # pairs come window by window
+        own, other = counted[k], items.shingle_counts[i]
+        both = sum((own & other).values())
+        like = both / (own.total() + other.total() - both)
+        if like >= items.similarity:
+            yield i, s, w, like
 
 
 def item_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_bytes: int = ITEM_BLOCK_BYTES, **how) -> Iterator[Items]:
@@ -175,7 +232,7 @@ def item_blocks(benchmark: DataFrame, *, id_col: str = "item_id", text_col: str
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) if n > 1 else items
-        rows = sorted(((r.id, r.text) for r in own.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = sorted(((r.id, r.text) for r in own.collect()), key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[1]))
         texts = _lowered(pa.array([t for _, t in rows], pa.string()))
         yield index_items([i for i, _ in rows], texts, **how)
 
