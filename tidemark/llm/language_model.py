@@ -3,10 +3,13 @@
 Words are numbered by their place among the sorted word hashes of the training texts. Tasks count the
 n-grams of a portion of text with numpy and send them on as compressed columns, one blob for each bucket
 of contexts; a task for each bucket adds them up and writes sorted arrays of n-gram hashes with counts,
-and of context hashes with totals, to the shared folder. Contexts with a large share of the corpus are
-spread over all buckets by the whole n-gram. The next lower order counts in how many distinct longer
-n-grams each shorter one occurs. Scoring maps the arrays into memory and looks up each distinct n-gram
-of a portion of text once.
+and of context hashes with totals, to the shared folder. There are as many buckets as keep each at about
+``BUCKET_TOKENS`` tokens of text. Contexts with a large share of the corpus are spread over all buckets by the
+whole n-gram. The next lower order counts in how many distinct longer n-grams each shorter one occurs.
+Scoring maps the arrays into memory and looks up each distinct n-gram of a portion of text once.
+
+An array holds of each hash the 32 bits below those that number its segment of about eight hashes, and of its
+values (most are the same few) a byte. Two n-grams of a bucket share an entry with a probability of some 1e-9.
 
 Unknown words share one class: the lowest order is interpolated with 1 / (V + 1).
 
@@ -32,16 +35,23 @@ from tidemark.llm import kernels, shared
 ORDER = 3
 #: n-grams that a task holds before it sends them on.
 PORTION = 1_500_000
+#: Tokens of the corpus for each bucket.
+BUCKET_TOKENS = 1 << 20
+#: Bytes of text that are scored together.
+SCORE_BYTES = 4 << 20
 _END_HASH = np.uint64(0x0123456789ABCDEF)
 _CHAIN = np.uint64(0xA24BAED4963EE407)
 _HEAD = struct.Struct("<II")
 _maps: dict[str, np.ndarray] = {}
+_tables: dict[str, Table] = {}
 
 
 def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
     """Columns of ids (rows x k, sorted by rows) and counts, byte planes of each compressed together."""
     planes = [np.diff(c.astype(np.int64), prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in ids.T]
-    planes.append(np.minimum(counts, 0xFFFFFFFF).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    if counts.max(initial=0) > 0xFFFFFFFF:
+        raise ValueError("a task has counted an n-gram over 2 ** 32 times")
+    planes.append(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
     return _HEAD.pack(*ids.shape) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
@@ -61,13 +71,16 @@ def gram_keys(ids: np.ndarray) -> np.ndarray:
     return key
 
 
-def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, sorted, with their added counts and a place of each."""
+def _summed(ids: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, sorted, with their added counts and a place of each; ids are at most ``words`` + 1."""
     if not len(ids):
         return ids, counts, np.zeros(0, np.int64)
-    if ids.shape[1] <= 2:
-        packed = ids[:, 0].astype(np.uint64) if ids.shape[1] == 1 else ids[:, 0].astype(np.uint64) << np.uint64(32) | ids[:, 1]
-        order = np.argsort(packed, kind="stable")
+    bits = (words + 1).bit_length()
+    if bits * ids.shape[1] <= 64:  # a row in one number
+        packed = ids[:, 0].astype(np.uint64)
+        for c in ids.T[1:]:
+            packed = packed << np.uint64(bits) | c
+        order = np.argsort(packed)
         new = np.flatnonzero(np.concatenate(([True], np.diff(packed[order]) != 0)))
     else:
         order = np.lexsort(ids.T[::-1])
@@ -75,14 +88,91 @@ def _summed(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return ids[order[new]], np.add.reduceat(counts[order], new), order[new]
 
 
+_TABLE = struct.Struct("<IIIII")
+
+
+def table_bytes(keys: np.ndarray, values: np.ndarray) -> bytes:
+    """A file of sorted distinct 64-bit keys with rows of values; see :class:`Table`."""
+    bits = min(26, (len(keys) // 8).bit_length())
+    rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
+    index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
+    width = values.shape[1]
+    small = (values < 1 << (64 // width if width > 1 else 32)).all(axis=1) & (values < 1 << 32).all(axis=1)
+    packed = np.zeros(len(values), np.uint64)
+    for c in values.T:
+        packed = packed << np.uint64(64 // width if width > 1 else 32) | (c * small).astype(np.uint64)
+    kinds, place, times = np.unique(packed[small], return_inverse=True, return_counts=True)
+    often = np.argsort(-times, kind="stable")[:255]
+    code_of = np.full(len(kinds), 255, np.uint8)
+    code_of[often] = np.arange(len(often))
+    codes = np.full(len(values), 255, np.uint8)
+    codes[small] = code_of[place]
+    first = np.flatnonzero(small)[np.unique(place, return_index=True)[1]] if len(kinds) else np.zeros(0, np.int64)
+    many = np.flatnonzero(codes == 255)
+    head = _TABLE.pack(bits, len(keys), width, len(often), len(many))
+    return head + b"".join(x.tobytes() for x in (index.astype("<u4"), rest, many.astype("<u4"), values[first[often]].astype("<u8"), values[many].astype("<u8"), codes))
+
+
+class Table:
+    """Sorted hashes with values, over the bytes of a file.
+
+    The first ``bits`` bits of a hash number a segment; ``index`` has the segments' limits, ``rest`` the next 32
+    bits of each hash, in order. A code below 255 is the place of the values among the common ones; those of
+    the others are listed by place."""
+
+    def __init__(self, data: np.ndarray):
+        self.bits, self.n, self.width, common, many = _TABLE.unpack_from(data[: _TABLE.size].tobytes()) if len(data) else (0, 0, 1, 0, 0)
+        at = _TABLE.size
+
+        def part(dtype: str, n: int) -> np.ndarray:
+            nonlocal at
+            n = n if len(data) else 0
+            size = n * np.dtype(dtype).itemsize
+            out = np.frombuffer(data, dtype, n, at) if n else np.zeros(0, dtype)
+            at += size
+            return out
+
+        self.index, self.rest, self.many = part("<u4", (1 << self.bits) + 1), part("<u4", self.n), part("<u4", many)
+        self.common, self.values = (part("<u8", k * self.width).reshape(-1, self.width) for k in (common, many))
+        self.codes = part("u1", self.n)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        if not self.n:
+            return np.full(len(keys), -1)
+        segment = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        rest = ((keys << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
+        low, high = self.index[segment].astype(np.int64), self.index[segment + 1].astype(np.int64)
+        end = high.copy()
+        for _ in range(int((high - low).max(initial=0)).bit_length()):
+            middle = (low + high) >> 1
+            less = (low < high) & (self.rest[np.minimum(middle, self.n - 1)] < rest)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        hit = (low < end) & (self.rest[np.minimum(low, self.n - 1)] == rest)
+        return np.where(hit, low, -1)
+
+    def look(self, keys: np.ndarray) -> np.ndarray:
+        """The values of each key; zeros for a key that is not there."""
+        out = np.zeros((len(keys), self.width), np.int64)
+        place = self.find(keys)
+        got = np.flatnonzero(place >= 0)
+        codes = self.codes[place[got]]
+        few = codes < 255
+        out[got[few]] = self.common[codes[few]]
+        rare = got[~few]
+        out[rare] = self.values[np.searchsorted(self.many, place[rare].astype(np.uint32))]
+        return out
+
+
 @dataclass
 class Model:
     """Where the arrays are, and the few numbers that every lookup needs."""
 
     path: str
     order: int
+    word_buckets: int
     buckets: int
-    offsets: np.ndarray  # number of the first word of each bucket; the number of words last
+    offsets: np.ndarray  # number of the first word of each bucket of words; the number of words last
     tokens: int
     hot_count: int
     discounts: list[tuple[float, float, float]] = field(default_factory=list)  # by order
@@ -100,10 +190,19 @@ class Model:
             _maps[uri] = shared.map_file(uri, dtype)
         return _maps[uri]
 
+    def table(self, name: str) -> Table:
+        """The table of a file; empty if there is no such file."""
+        uri = f"{self.path}/{name}"
+        if uri not in _tables:
+            if len(_tables) > 10_000:
+                _tables.clear()
+            _tables[uri] = Table(shared.map_file(uri, np.uint8))
+        return _tables[uri]
+
     def lookup_words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and counts of sorted word hashes; words that are not known have number words + 1."""
         ids, counts = np.full(len(hashes), self.words + 1, np.int64), np.zeros(len(hashes), np.int64)
-        cut = np.searchsorted(hashes, np.arange(self.buckets, dtype=np.uint64) << np.uint64(64 - self.buckets.bit_length() + 1)) if self.buckets > 1 else np.array([0])
+        cut = np.searchsorted(hashes, np.arange(self.word_buckets, dtype=np.uint64) << np.uint64(64 - self.word_buckets.bit_length() + 1)) if self.word_buckets > 1 else np.array([0])
         for b, (low, high) in enumerate(zip(cut, np.append(cut[1:], len(hashes)))):
             if low < high:
                 known = self.array(f"words/{b}.hash", "<u8")
@@ -218,7 +317,7 @@ def _count_grams(docs: DataFrame, model: Model) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             every, least = np.concatenate(rows), np.concatenate(leasts)
-            ids, counts, first = _summed(every, np.ones(len(every), np.int64))
+            ids, counts, first = _summed(every, np.ones(len(every), np.int64), model.words)
             return _send(model, ids, counts, least[first] > model.hot_count)
 
         for batch in batches:
@@ -254,25 +353,20 @@ def _add_grams(rows: DataFrame, model: Model, size: int) -> DataFrame:
             blobs = [_unpack(d) for k, d in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()) if k == kind]
             if not blobs:
                 continue
-            ids, counts, _ = _summed(np.concatenate([x for x, _ in blobs]), np.concatenate([n for _, n in blobs]))
+            ids, counts, _ = _summed(np.concatenate([x for x, _ in blobs]), np.concatenate([n for _, n in blobs]), model.words)
             every_ids.append(ids)
             every_counts.append(counts)
             keys, numbers = _context_numbers(gram_keys(ids[:, :-1]), counts)
             if kind == "hot":
                 parts.append(("contexts", b, keys.astype("<u8").tobytes() + numbers.astype("<i8").tobytes()))
             else:
-                shared.put_file(f"{model.path}/contexts{size}/{b}.hash", keys.astype("<u8").tobytes())
-                shared.put_file(f"{model.path}/contexts{size}/{b}.numbers", numbers.astype("<u4").tobytes())
+                shared.put_file(f"{model.path}/contexts{size}/{b}", table_bytes(keys, numbers))
         ids, counts = np.concatenate(every_ids), np.concatenate(every_counts)
-        keys = gram_keys(ids)
-        order = np.argsort(keys)
-        shared.put_file(f"{model.path}/grams{size}/{b}.hash", keys[order].astype("<u8").tobytes())
-        shared.put_file(f"{model.path}/grams{size}/{b}.count", np.minimum(counts[order], 0xFFFF).astype("<u2").tobytes())
-        many = np.flatnonzero(counts[order] >= 0xFFFF)
-        shared.put_file(f"{model.path}/grams{size}/{b}.many", np.stack((many.astype("<u8"), counts[order][many].astype("<u8"))).tobytes())
+        keys, place = np.unique(gram_keys(ids), return_inverse=True)
+        shared.put_file(f"{model.path}/grams{size}/{b}", table_bytes(keys, np.bincount(place, counts, len(keys)).astype(np.int64)[:, None]))
         parts.append(("of", b, _numbers([int((counts == k).sum()) for k in (1, 2, 3, 4)])))
         if size > 1:
-            shorter, times, _ = _summed(ids[:, 1:], np.ones(len(ids), np.int64))
+            shorter, times, _ = _summed(ids[:, 1:], np.ones(len(ids), np.int64), model.words)
             hot = np.zeros(len(shorter), bool) if size > 2 else np.ones(len(shorter), bool)  # of single words the context is empty
             sent = _send(model, shorter, times, hot)
             return pa.Table.from_batches([_rows(parts), sent])
@@ -293,20 +387,22 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
     """A model of all texts of ``docs``, in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(text_col)
-    buckets = 1 << max(3, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    words = 1 << max(3, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     path = shared.fresh_path(spark, "language-model")
-    sizes = {r.bucket: np.frombuffer(r.data, "<i8") for r in _count_words(texts, buckets, path).collect()}  # two numbers a bucket
+    sizes = {r.bucket: np.frombuffer(r.data, "<i8") for r in _count_words(texts, words, path).collect()}  # two numbers a bucket
     none = np.zeros(2, np.int64)
-    offsets = np.concatenate(([0], np.cumsum([sizes.get(b, none)[0] for b in range(buckets)])))
+    offsets = np.concatenate(([0], np.cumsum([sizes.get(b, none)[0] for b in range(words)])))
     tokens = int(sum(s[1] for s in sizes.values()))
+    buckets = 1 << max(3, (tokens // BUCKET_TOKENS).bit_length())
     # of contexts this frequent there are at most 4 x buckets x (order - 1)
-    model = Model(path, order, buckets, offsets.astype(np.int64), tokens, max(tokens // (4 * buckets), 1000))
+    model = Model(path, order, words, buckets, offsets.astype(np.int64), tokens, max(tokens // (4 * buckets), 1000))
     found = {}
     rows = _count_grams(texts, model)
     for size in range(order, 0, -1):
         out = shared.written(_add_grams(rows, model, size), f"grams{size}")
         if size < order:
             shared.drop(rows)
+        shared.sweep(spark)  # the shuffle files of this order
         few = out.where("kind in ('of', 'contexts')").collect()
         of = sum((np.frombuffer(r.data, "<i8") for r in few if r.kind == "of"), np.zeros(4, np.int64))
         keys, numbers = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)]
@@ -328,29 +424,6 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
     return model
 
 
-def _look(model: Model, name: str, keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Place of each key in its bucket's sorted array, or -1."""
-    out = np.full(len(keys), -1)
-    order = np.lexsort((keys, buckets))
-    cut = np.flatnonzero(np.concatenate(([True], np.diff(buckets[order]) != 0, [True]))) if len(order) else [0]
-    for a, b in zip(cut[:-1], cut[1:]):
-        part = order[a:b]
-        known = model.array(f"{name}/{buckets[part[0]]}.hash", "<u8")
-        at = np.searchsorted(known, keys[part])
-        hit = np.flatnonzero(at < len(known))
-        hit = hit[known[at[hit]] == keys[part][hit]]
-        out[part[hit]] = at[hit]
-    return out
-
-
-def _values(model: Model, name: str, dtype: str, width: int, at: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(at), width), np.int64)
-    for b in np.unique(buckets[at >= 0]):
-        own = np.flatnonzero((buckets == b) & (at >= 0))
-        out[own] = model.array(name.format(b), dtype).reshape(-1, width)[at[own]]
-    return out
-
-
 def probabilities(model: Model, ids: np.ndarray, least: np.ndarray) -> np.ndarray:
     """Probability of the last word of each row of ``order`` ids."""
     p = np.full(len(ids), 1.0 / (model.words + 1))
@@ -358,21 +431,22 @@ def probabilities(model: Model, ids: np.ndarray, least: np.ndarray) -> np.ndarra
         own = ids[:, model.order - size :]
         hot = np.ones(len(own), bool) if size == 1 else least > model.hot_count if size == model.order else np.zeros(len(own), bool)
         context, key = gram_keys(own[:, :-1]), gram_keys(own)
-        numbers = np.zeros((len(own), 4), np.int64)
+        numbers, count = np.zeros((len(own), 4), np.int64), np.zeros(len(own), np.int64)
         kinds, totals = model.hot[size - 1]
-        at = np.searchsorted(kinds, context)
-        at[at == len(kinds)] = 0
-        some = hot & (kinds[at] == context) if len(kinds) else np.zeros(len(own), bool)
-        numbers[some] = totals[at[some]]
-        rare = np.flatnonzero(~hot)
-        bucket = (context[rare] % np.uint64(model.buckets)).astype(np.int64)
-        numbers[rare] = _values(model, f"contexts{size}/{{}}.numbers", "<u4", 4, _look(model, f"contexts{size}", context[rare], bucket), bucket)
-        bucket = (np.where(hot, key, context) % np.uint64(model.buckets)).astype(np.int64)
-        at = _look(model, f"grams{size}", key, bucket)
-        count = _values(model, f"grams{size}/{{}}.count", "<u2", 1, at, bucket)[:, 0]
-        for k in np.flatnonzero(count == 0xFFFF):
-            places, counts = model.array(f"grams{size}/{bucket[k]}.many", "<u8").reshape(2, -1)
-            count[k] = counts[np.searchsorted(places, np.uint64(at[k]))]
+        if len(kinds):
+            at = np.minimum(np.searchsorted(kinds, context), len(kinds) - 1)
+            some = hot & (kinds[at] == context)
+            numbers[some] = totals[at[some]]
+        bucket = np.where(hot, key, context) % np.uint64(model.buckets)
+        order = np.argsort(bucket, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(cut[:-1], cut[1:]):
+            part = order[a:b]
+            name = int(bucket[part[0]])
+            count[part] = model.table(f"grams{size}/{name}").look(key[part])[:, 0]
+            rare = part[~hot[part]]
+            if len(rare):  # the contexts of a bucket's n-grams are in the bucket as well
+                numbers[rare] = model.table(f"contexts{size}/{name}").look(context[rare])
         d = np.array([0.0, *model.discounts[size - 1]])
         total = np.maximum(numbers[:, 0], 1)
         weight = (numbers[:, 1:] @ d[1:]) / total
@@ -390,7 +464,7 @@ def score(docs: DataFrame, model: Model, held_out, *, id_col: str = "doc_id", te
         for batch in batches:
             texts = kernels.texts_of(batch.column(2))
             n, known, base, own = (np.zeros(len(texts)) for _ in range(4))
-            for a, b in kernels.blocks(texts):
+            for a, b in kernels.blocks(texts, SCORE_BYTES):
                 ids, counts, stop = model.numbered(kernels.Block(texts[a:b]))
                 rows, least = model.grams(ids, counts, stop)
                 _, first, place = np.unique(gram_keys(rows), return_index=True, return_inverse=True)

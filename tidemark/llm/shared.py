@@ -8,6 +8,7 @@ what was written, unlike a localCheckpoint.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -60,6 +61,12 @@ def delete(spark: SparkSession, path: str) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so when the JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in list(_written):
