@@ -390,6 +390,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
     words = 1 << max(3, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     path = shared.fresh_path(spark, "language-model")
     sizes = {r.bucket: np.frombuffer(r.data, "<i8") for r in _count_words(texts, words, path).collect()}  # two numbers a bucket
+    shared.sweep(spark)
     none = np.zeros(2, np.int64)
     offsets = np.concatenate(([0], np.cumsum([sizes.get(b, none)[0] for b in range(words)])))
     tokens = int(sum(s[1] for s in sizes.values()))
@@ -402,6 +403,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
         out = shared.written(_add_grams(rows, model, size), f"grams{size}")
         if size < order:
             shared.drop(rows)
+        rows = None
         shared.sweep(spark)  # the shuffle files of this order
         few = out.where("kind in ('of', 'contexts')").collect()
         of = sum((np.frombuffer(r.data, "<i8") for r in few if r.kind == "of"), np.zeros(4, np.int64))

@@ -11,6 +11,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from urllib.parse import unquote, urlparse
 
@@ -62,9 +63,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of tables that nothing refers to any more; it does so when the JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of tables that nothing refers to any more.
+
+    It does so once the JVM has collected the driver's objects, which takes two rounds: the plan, then what it held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @atexit.register

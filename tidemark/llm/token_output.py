@@ -8,10 +8,11 @@ expansion length of each, the replaced sequence, and the documents' ids and leng
 is decoded from the few symbols that cover it. Blocks are rows of a Parquet table, so Spark's commit protocol
 covers them.
 
-Tokenising: texts are cut before single spaces that stand between two other characters; there a
-byte-level BPE cuts anyway, so each distinct piece is tokenised once. Pieces are hashed (128 bits) and looked
+Tokenising: texts are cut before single spaces that stand between two other characters, between a letter and
+a mark, and around a line break between a letter or mark and a letter; there a byte-level BPE with the usual
+pattern of words, numbers and marks cuts anyway, so each distinct piece is tokenised once. Pieces are hashed (128 bits) and looked
 up in a bounded table with numpy, so that no Python code runs for a piece that is known, nor for a new one
-that is a plain word. Texts with runs of white space at a space, or with special tokens, are tokenised whole.
+that is a plain word, number or run of marks. Texts with runs of white space at a space, or with special tokens, are tokenised whole.
 
 Defined cases: a null text counts as empty and gives the end id alone; rows without an id come first;
 rows with the same id are ordered by their text; an empty table gives an empty output. Columns besides
@@ -35,9 +36,9 @@ from tidemark.llm import kernels, shared
 END_ID = 0
 BLOCK_TOKENS = 1 << 19
 #: A round replaces all pairs that are at least a SHARE-th as frequent as the most frequent one.
-SHARE = 16
+SHARE = 32
 LEAST_PAIRS = 8
-#: Distinct pieces whose ids a worker remembers; then it starts afresh. Half of its table's slots.
+#: Half of the slots of a worker's table of pieces; when it is three quarters full, rare pieces are forgotten.
 CACHE_PIECES = 1 << 20
 #: Bytes of texts that are tokenised together, and new pieces that the library gets in one text.
 PORTION_BYTES = 1 << 20
@@ -50,6 +51,11 @@ _encoders: dict[str, Encoder] = {}
 
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = True
+#: Marks that the tokenizer cuts off a word in one run: neither an apostrophe nor what opens a special token.
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<"]] = True
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _BYTE_VALUES = np.random.default_rng(77).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,17 +114,23 @@ class Encoder:
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
         self.letters = {b: b if b in printable else next(rest) for b in range(256)}
-        self.letters |= {32: " Ġ", 1: " "}
+        self.letters |= {32: " Ġ", 1: " Ġ "}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
+        self.space = vocabulary["Ġ"]
         self.opens = np.zeros(self.size, bool)  # tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.forget()
+        sample = ["Plain Words, (and) marks!! of it's 12th\nline.\nNext: été #1 x2", " led", "trails\n", "a  b"]
+        self.cuts_hold = True
+        ids, sizes = self.encode([t.encode() for t in sample], None)
+        if [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] != self._whole(sample):
+            self.cuts_hold = False  # another pattern: texts are tokenised whole
 
     def forget(self) -> None:
         self.table = _Table(2 * CACHE_PIECES)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.length = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
+        self.at, self.length, self.uses = (np.zeros(1 << 15, np.int32) for _ in range(3))
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         out = []
@@ -126,54 +138,51 @@ class Encoder:
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 256], add_special_tokens=False)]
         return out
 
-    def _opened(self, tokenizer, joined: str, which: np.ndarray) -> None:
-        """Store the ids of pieces that stand in ``joined``, each after a space."""
-        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        starts = np.flatnonzero(self.opens[ids])
-        self._keep(which, ids, np.diff(np.append(starts, len(ids))))
-
-    def _learn(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, base: int) -> None:
-        """Ids of new pieces, numbered from ``base``. Pieces inside a text follow a space, the first of a text does not.
+    def _joined(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, which: np.ndarray, after_space: bool) -> None:
+        """Store the ids of plain pieces: a word, a number or a run of marks each."""
+        for k in range(0, len(which), PIECES_A_CALL):
+            lengths = end[k : k + PIECES_A_CALL] - start[k : k + PIECES_A_CALL]
+            first = np.cumsum(lengths) - lengths
+            flat = np.insert(raw[_ranges(start[k : k + PIECES_A_CALL], lengths)], first, 32 if after_space else 1)
+            joined = flat.tobytes().decode("latin-1").translate(self.letters)
+            ids = np.array(self.cut_words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            if after_space:  # each begins with a space, and nothing else does
+                starts = np.flatnonzero(self.opens[ids])
+                counts = np.diff(np.append(starts, len(ids)))
+            else:  # a lone space stands before each
+                starts = np.flatnonzero(ids == self.space)
+                counts = np.diff(np.append(starts, len(ids))) - 1
+                ids = ids[ids != self.space]
+            self._keep(which[k : k + PIECES_A_CALL], ids, counts)
+
+    def _learn(self, raw: np.ndarray, letter: np.ndarray, start: np.ndarray, end: np.ndarray, bare: np.ndarray, base: int) -> None:
+        """Ids of new pieces, numbered from ``base``; those that are not ``bare`` follow a space.
 
         A piece that is empty or has white space at an end, or may hold a special token, gets length -1."""
         n = base + len(start)
         while len(self.at) < n:
-            self.at, self.length = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.length))
-        letter = _ALPHA[raw]
-        lead = np.flatnonzero(raw[:-1] == 0xC3)  # of the two-byte letters those from U+00C0 to U+00FF
-        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
-        letter[lead] = letter[lead + 1] = True
-        others = np.flatnonzero(~letter)
-        before = np.searchsorted(others, start)
-        count = np.searchsorted(others, end) - before
-        place = np.append(others, [len(raw), len(raw)])[before]  # the first that is no letter
-        mark = np.append(raw, [0, 0])
-        plain = (count == 0) & (end > start)
-        ended = (count == 1) & (place == end - 1) & (place > start) & ((mark[place] == 44) | (mark[place] == 46))
-        lines = (count == 2) & (place > start) & (place + 2 < end) & (mark[place] == 46) & (mark[np.minimum(place + 1, len(raw))] == 10)
-        lines &= np.append(others, [len(raw), len(raw)])[np.minimum(before + 1, len(others))] == place + 1
-        quick = np.flatnonzero((plain | ended | lines) & ~first)
-        for k in range(0, len(quick), PIECES_A_CALL):
-            own = quick[k : k + PIECES_A_CALL]
-            lengths = end[own] - start[own] + 1  # with the space before
-            shift = start[own] - 1 - (np.cumsum(lengths) - lengths)
-            bytes_ = raw[_ranges(start[own] - 1, lengths)]
-            at = place[own] - shift
-            cuts = np.concatenate((at[ended[own] | lines[own]], at[lines[own]] + 1, at[lines[own]] + 2))
-            joined = np.insert(bytes_, cuts, 1).tobytes().decode("latin-1").translate(self.letters)
-            self._opened(self.cut_words, joined, base + own)
+            self.at, self.length, self.uses = (np.concatenate((x, np.zeros(max(len(x), 1 << 15), np.int32))) for x in (self.at, self.length, self.uses))
+        size = end - start
+        plain = np.zeros(len(start), bool)
+        for flags in (letter, _DIGIT[raw], _MARK[raw]):
+            sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int32)))
+            plain |= sums[end] - sums[start] == size
+        line = np.append(raw, 0)[start] == 10  # between lines
+        plain = (plain | (line & (size == 1) & bare)) & (size > 0)
+        for after_space in (True, False):
+            which = np.flatnonzero(plain & (bare != after_space))
+            self._joined(raw, start[which], end[which], base + which, after_space)
         inner, opening, text = [], [], raw.tobytes()
-        slow = np.ones(len(start), bool)
-        slow[quick] = False
-        for k in np.flatnonzero(slow).tolist():
+        for k in np.flatnonzero(~plain).tolist():
             piece = text[start[k] : end[k]].decode()
             if not piece or piece[0].isspace() or piece[-1].isspace() or "<|" in piece:
                 self.length[base + k] = _ODD
             else:
-                (opening if first[k] else inner).append((base + k, piece))
+                (opening if bare[k] else inner).append((base + k, piece))
         for k in range(0, len(inner), 1024):
             part = inner[k : k + 1024]
-            self._opened(self.tokenizer, "".join(" " + p for _, p in part), np.array([i for i, _ in part], np.int64))
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(" " + p for _, p in part)], add_special_tokens=False)[0].ids, np.uint32)
+            self._keep(np.array([i for i, _ in part], np.int64), ids, np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
         known = self._whole([p for _, p in opening])
         self._keep(np.array([i for i, _ in opening], np.int64), np.array([i for own in known for i in own], np.uint32), np.array([len(own) for own in known], np.int64))
 
@@ -182,27 +191,48 @@ class Encoder:
         if len(which) != len(lengths):
             raise ValueError("pieces and tokens do not match")
         while len(self.flat) < self.used + len(ids):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), 1 << 16), np.uint32)))
         self.flat[self.used : self.used + len(ids)] = ids
         self.length[which] = lengths
         self.at[which] = self.used + np.cumsum(lengths) - lengths
         self.used += len(ids)
 
+    def _shrink(self) -> None:
+        """Forget the pieces that came once or twice; all, if that leaves too many."""
+        kept = np.flatnonzero(self.uses[: self.table.used] > 2)
+        if len(kept) > CACHE_PIECES // 2:
+            return self.forget()
+        slots = np.flatnonzero(self.table.number >= 0)
+        by_number = slots[np.argsort(self.table.number[slots])][kept]
+        keys, length, at, uses = self.table.keys[:, by_number], self.length[kept], self.at[kept], self.uses[kept]
+        flat = self.flat[_ranges(at.astype(np.int64), np.maximum(length, 0).astype(np.int64))]
+        self.forget()
+        self.table.add(*keys)
+        self.flat, self.used = flat, len(flat)
+        self.length, self.uses = length, uses
+        self.at = (np.cumsum(np.maximum(length, 0)) - np.maximum(length, 0)).astype(np.int32)
+
     def encode(self, texts: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has, the end id included."""
         if self.table.used > CACHE_PIECES * 3 // 4:
-            self.forget()
+            self._shrink()
+        if not self.cuts_hold:
+            known = self._whole([t.decode() for t in texts])
+            tail = [] if end is None else [end]
+            return np.array([i for own in known for i in (*own, *tail)], np.uint32), np.array([len(own) + len(tail) for own in known], np.int64)
         size = np.fromiter((len(t) for t in texts), np.int64, len(texts))
         text_end = np.cumsum(size)
         raw = np.frombuffer(b"".join(texts), np.uint8)
         some = size > 0
+        text_start = text_end - size
         spaces = np.flatnonzero(raw == 32)
-        # a text of n spaces has n + 1 pieces
-        begins = np.sort(np.concatenate((spaces + 1, (text_end - size)[some])), kind="stable")
-        ends = np.sort(np.concatenate((spaces, text_end[some])), kind="stable")
-        counts = np.where(some, np.searchsorted(spaces, text_end) - np.searchsorted(spaces, text_end - size) + 1, 0)
+        letter, cuts = self._cuts(raw, text_start[some])
+        begins = np.sort(np.concatenate((spaces + 1, text_start[some], cuts)), kind="stable")
+        ends = np.sort(np.concatenate((spaces, text_end[some], cuts)), kind="stable")
+        inside = sum(np.searchsorted(x, text_end) - np.searchsorted(x, text_start) for x in (spaces, cuts))
+        counts = np.where(some, inside + 1, 0)
         stops = np.cumsum(counts)
-        first = np.zeros(len(begins), bool)
+        first = np.append(raw, 0)[np.maximum(begins - 1, 0)] != 32  # no space before
         first[(stops - counts)[some]] = True
         keys = self._keys(raw, begins, ends, first)
         number = self.table.find(*keys)
@@ -213,8 +243,9 @@ class Encoder:
                 _, sample, inverse = np.unique(np.stack([k[new] for k in keys], axis=1), axis=0, return_index=True, return_inverse=True)
             base, own = self.table.used, new[sample]
             self.table.add(keys[0][own], keys[1][own])
-            self._learn(raw, begins[own], ends[own], first[own], base)
+            self._learn(raw, letter, begins[own], ends[own], first[own], base)
             number[new] = base + inverse
+        np.add(self.uses[: self.table.used], np.bincount(number, minlength=self.table.used).astype(np.int32), out=self.uses[: self.table.used])
         length = self.length[number].astype(np.int64)
         odd = np.unique(np.repeat(np.arange(len(texts)), counts)[length == _ODD])
         whole = dict(zip(odd.tolist(), (np.array(i, np.uint32) for i in self._whole([texts[k].decode() for k in odd]))))
@@ -229,6 +260,22 @@ class Encoder:
             sizes[k] = len(own) + len(tail)
         return np.concatenate(out) if out else np.zeros(0, np.uint32), sizes
 
+    @staticmethod
+    def _cuts(raw: np.ndarray, text_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where letters are (ASCII, and U+00C0 to U+00FF), and the places besides spaces at which texts are cut."""
+        letter = _ALPHA[raw]
+        lead = np.flatnonzero(raw[:-1] == 0xC3)
+        lead = lead[(raw[lead + 1] != 0x97) & (raw[lead + 1] != 0xB7)]
+        letter[lead] = letter[lead + 1] = True
+        if len(raw) < 3:
+            return letter, np.zeros(0, np.int64)
+        mark = _MARK[raw]
+        begin = np.zeros(len(raw), bool)
+        begin[text_start] = True
+        tail = np.flatnonzero(letter[:-1] & mark[1:] & ~begin[1:]) + 1
+        line = np.flatnonzero((raw[1:-1] == 10) & (letter[:-2] | mark[:-2]) & letter[2:] & ~begin[1:-1] & ~begin[2:]) + 1
+        return letter, np.sort(np.concatenate((tail, line, line + 1)), kind="stable")
+
     @staticmethod
     def _keys(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each piece."""
