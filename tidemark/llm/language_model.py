@@ -97,20 +97,24 @@ def table_bytes(keys: np.ndarray, values: np.ndarray) -> bytes:
     rest = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
     index = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(keys)])
     width = values.shape[1]
-    small = (values < 1 << (64 // width if width > 1 else 32)).all(axis=1) & (values < 1 << 32).all(axis=1)
-    packed = np.zeros(len(values), np.uint64)
-    for c in values.T:
-        packed = packed << np.uint64(64 // width if width > 1 else 32) | (c * small).astype(np.uint64)
-    kinds, place, times = np.unique(packed[small], return_inverse=True, return_counts=True)
-    often = np.argsort(-times, kind="stable")[:255]
-    code_of = np.full(len(kinds), 255, np.uint8)
-    code_of[often] = np.arange(len(often))
-    codes = np.full(len(values), 255, np.uint8)
-    codes[small] = code_of[place]
-    first = np.flatnonzero(small)[np.unique(place, return_index=True)[1]] if len(kinds) else np.zeros(0, np.int64)
+    if width == 1:  # small numbers are their own codes
+        common = np.arange(255)[:, None]
+        codes = np.minimum(values[:, 0], 255).astype(np.uint8)
+    else:
+        small = (values < 1 << 64 // width).all(axis=1)
+        packed = np.zeros(len(values), np.uint64)
+        for c in values.T:
+            packed = packed << np.uint64(64 // width) | (c * small).astype(np.uint64)
+        kinds, first, place, times = np.unique(packed[small], return_index=True, return_inverse=True, return_counts=True)
+        often = np.argsort(-times, kind="stable")[:255]
+        common = values[np.flatnonzero(small)[first[often]]]
+        code_of = np.full(len(kinds), 255, np.uint8)
+        code_of[often] = np.arange(len(often))
+        codes = np.full(len(values), 255, np.uint8)
+        codes[small] = code_of[place]
     many = np.flatnonzero(codes == 255)
-    head = _TABLE.pack(bits, len(keys), width, len(often), len(many))
-    return head + b"".join(x.tobytes() for x in (index.astype("<u4"), rest, many.astype("<u4"), values[first[often]].astype("<u8"), values[many].astype("<u8"), codes))
+    head = _TABLE.pack(bits, len(keys), width, len(common), len(many))
+    return head + b"".join(x.tobytes() for x in (index.astype("<u4"), rest, many.astype("<u4"), common.astype("<u8"), values[many].astype("<u8"), codes))
 
 
 class Table:
@@ -244,7 +248,11 @@ class Model:
 
     def bucket_of(self, ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
         key = np.where(hot, gram_keys(ids), gram_keys(ids[:, :-1]))
-        return (key % np.uint64(self.buckets)).astype(np.int64)
+        return self.bucket_of_keys(key)
+
+    def bucket_of_keys(self, keys: np.ndarray) -> np.ndarray:
+        """In 16 bits if they do, which numpy sorts by radix."""
+        return (keys & np.uint64(self.buckets - 1)).astype(np.uint16 if self.buckets <= 1 << 16 else np.uint32)
 
 
 def _rows(parts: list[tuple[str, int, bytes]]) -> pa.RecordBatch:
@@ -362,8 +370,11 @@ def _add_grams(rows: DataFrame, model: Model, size: int) -> DataFrame:
             else:
                 shared.put_file(f"{model.path}/contexts{size}/{b}", table_bytes(keys, numbers))
         ids, counts = np.concatenate(every_ids), np.concatenate(every_counts)
-        keys, place = np.unique(gram_keys(ids), return_inverse=True)
-        shared.put_file(f"{model.path}/grams{size}/{b}", table_bytes(keys, np.bincount(place, counts, len(keys)).astype(np.int64)[:, None]))
+        keys = gram_keys(ids)
+        order = np.argsort(keys)
+        keys, times = keys[order], counts[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        shared.put_file(f"{model.path}/grams{size}/{b}", table_bytes(keys[new], np.add.reduceat(times, new)[:, None]))
         parts.append(("of", b, _numbers([int((counts == k).sum()) for k in (1, 2, 3, 4)])))
         if size > 1:
             shorter, times, _ = _summed(ids[:, 1:], np.ones(len(ids), np.int64), model.words)
@@ -439,7 +450,7 @@ def probabilities(model: Model, ids: np.ndarray, least: np.ndarray) -> np.ndarra
             at = np.minimum(np.searchsorted(kinds, context), len(kinds) - 1)
             some = hot & (kinds[at] == context)
             numbers[some] = totals[at[some]]
-        bucket = np.where(hot, key, context) % np.uint64(model.buckets)
+        bucket = model.bucket_of_keys(np.where(hot, key, context))
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
         for a, b in zip(cut[:-1], cut[1:]):
