@@ -111,6 +111,15 @@ def _shifted(local: DataFrame, kind: str, carry: dict[int, tuple]) -> DataFrame:
     return local.mapInArrow(kernels.freed(run), f"conv_id {kind}, position long, role string, text string, hash_a long, hash_b long")
 
 
+def _with_parts(turns: DataFrame, conversations: DataFrame, part_turns: int) -> DataFrame:
+    """The turns of some conversations (conv_id, n_turns), with n_turns and part; joined part by part, so that a
+    conversation of any length is spread over the tasks."""
+    every = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_turns") - 1) / part_turns).cast("long"))
+    wanted = conversations.select(F.col("conv_id").alias("_conv"), "n_turns", F.explode(every).alias("_part"))
+    parted = turns.withColumn("part", F.floor((F.col("position") - 1) / part_turns).cast("long"))
+    return parted.join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))).drop("_conv", "_part")
+
+
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id, n_turns of the conversations that are no prefix of a longer one, one of equal ones.
 
@@ -118,7 +127,7 @@ def maximal(turns: DataFrame) -> DataFrame:
     lengths = turns.groupBy("conv_id").agg(F.max("position").alias("n_turns"), F.max_by("hash_a", "position").alias("a"), F.max_by("hash_b", "position").alias("b"))
     lengths = shared.written(lengths, "conversations")
     one = lengths.groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("conv_id"))
-    inner = turns.join(lengths.select("conv_id", "n_turns"), turns.conv_id.eqNullSafe(lengths.conv_id)).where(F.col("position") < F.col("n_turns"))
+    inner = _with_parts(turns, lengths.select("conv_id", "n_turns"), PART_TURNS).where(F.col("position") < F.col("n_turns"))
     inner = inner.select("position", "hash_a", "hash_b").distinct()
     same = (F.col("n_turns") == F.col("position")) & (F.col("a") == F.col("hash_a")) & (F.col("b") == F.col("hash_b"))
     return one.join(inner, same, "left_anti").select("conv_id", "n_turns")
@@ -126,11 +135,9 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 def render(turns: DataFrame, kept: DataFrame, *, part_turns: int = PART_TURNS) -> DataFrame:
     """conv_id, part, n_turns, rendered: the kept conversations in parts of ``part_turns`` turns."""
-    kept = kept.withColumnRenamed("conv_id", "_kept")
-    own = turns.join(kept, turns.conv_id.eqNullSafe(F.col("_kept")))
+    own = _with_parts(turns, kept, part_turns)
     line = F.concat(F.lit("<|im_start|>"), "role", F.lit("\n"), "text", F.lit("<|im_end|>\n"))
-    part = F.floor((F.col("position") - 1) / part_turns).cast("long")
-    parts = own.groupBy("conv_id", part.alias("part"), "n_turns").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
+    parts = own.groupBy("conv_id", "part", "n_turns").agg(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))).alias("lines"))
     return parts.select("conv_id", "part", "n_turns", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
 
 
