@@ -24,6 +24,10 @@ from tidemark.llm import shared
 
 #: A value that more owners hold is an example.
 MOST_OWNERS = 2
+#: Matches of a text that are taken together, values that are widely copied, and the share of all spans from which a value is.
+_CHUNK = 256
+HOT_SPANS = 100_000
+HOT_SHARE = 10_000
 _SPAN = "struct<start:int,ord:int,kind:string,stop:int,value:bigint>"
 
 
@@ -70,8 +74,19 @@ def spans(text: Column, kind: Kind, order: int) -> Column:
         kept = F.when(F.length(part["value"]) >= kind.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]) if kind.least else F.concat(acc["out"], F.array(span))
         return F.struct(stop.alias("at"), kept.alias("out"))
 
+    def chunk(number: Column) -> Column:
+        """Spans of some matches, from the end of the matches before."""
+        return F.aggregate(F.slice(parts, number * _CHUNK + 1, F.lit(_CHUNK)), start, step)
+
+    def moved(acc: Column, more: Column) -> Column:
+        shift = lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), (s["stop"] + acc["at"]).alias("stop"), s["value"].alias("value"))
+        return F.struct((acc["at"] + more["at"]).alias("at"), F.concat(acc["out"], F.transform(more["out"], shift)).alias("out"))
+
+    # an array grows by copying, so the matches of a text are first taken in chunks
     start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(text.rlike(kind.pattern), F.aggregate(parts, start, step, lambda acc: acc["out"])).otherwise(none)
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _CHUNK).cast("int")), chunk)
+    whole = F.aggregate(chunks, start, moved, lambda acc: acc["out"])
+    return F.when(text.rlike(kind.pattern), whole).otherwise(none)
 
 
 def digest(found: Column) -> Column:
@@ -80,10 +95,10 @@ def digest(found: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value, owners, repositories: in how many distinct ones each value occurs. ``found``: value, owner, repository."""
+    """value, owners, repositories, n: in how many distinct ones each value occurs, and how often. ``found``: value, owner, repository."""
     repositories = found.groupBy("value", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
-    owners = repositories.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"))
-    return owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"))
+    owners = repositories.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repositories"), F.sum("n").alias("n"))
+    return owners.groupBy("value").agg(F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.sum("n").alias("n"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner: Column | None = None, repository: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
@@ -99,7 +114,11 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     found = shared.written(arrays.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "owner", "repository", base.alias("_base"), more.alias("_more")), "spans")
     every = found.select("_row", "owner", "repository", F.explode(F.concat("_base", "_more")).alias("span"))
     counts = shared.written(ownership(every.select(F.col("span.value").alias("value"), "owner", "repository")), "ownership")
-    judged = every.select("_row", "span", F.col("span.value").alias("value")).join(counts, "value")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(HOT_SPANS, total // HOT_SHARE)  # HOT_SHARE values at most, so they are sent to all tasks
+    spans_of = every.select("_row", "span", F.col("span.value").alias("value"))
+    often, rest = counts.where(hot), counts.where(~hot)
+    judged = spans_of.join(F.broadcast(often), "value").unionByName(spans_of.join(rest, "value"))
     live = F.col("owners") <= most_owners
     only = F.col("span.ord").isin([k for k, kind in enumerate(BASE + MORE) if kind.live_only])
     by_row = judged.groupBy("_row").agg(
