@@ -10,7 +10,7 @@ as large, until it ends.
 Likeness is the share of paragraphs in common: 2 x common / (all of both), 1 for two empty texts.
 
 Defined cases: null texts count as empty; repeated ids are ordered by text, in descending order like the
-ids; rows without an id come last; a single document is followed by itself. Columns besides the id and
+ids; rows without an id come last; ids are whole numbers; a single document is followed by itself. Columns besides the id and
 the text are not read.
 """
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,7 +184,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_ROWS = 256
+#: Texts of these bytes are compared together; one at least.
+_BYTES = 1 << 20
 
 
 def _compare(names: pa.Array, texts: list[str], following: list[str]) -> pa.RecordBatch:
@@ -202,6 +204,18 @@ def _compare(names: pa.Array, texts: list[str], following: list[str]) -> pa.Reco
     return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
 
+def _below(value, bounds: list[int]):
+    """How many of the sorted bounds are less than the value: first among every ``step``-th, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    listed = lambda xs: f"array({', '.join(f'{x}L' for x in xs)})"
+    outer = F.size(F.filter(F.expr(listed([g[-1] for g in groups])), lambda b: b < value))
+    inner = F.get(F.expr(f"array({', '.join(map(listed, groups))})"), outer)
+    return F.when(outer == len(groups), len(bounds)).otherwise(outer * step + F.size(F.filter(inner, lambda b: b < value)))
+
+
 def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts_a_task: int = 4) -> tuple[DataFrame, int]:
     """Rows (bucket, edge, id, text) dealt by ranges of ids, each range with its next document as edge row.
 
@@ -215,7 +229,7 @@ def with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     bounds = sorted(set(rows.where("id is not null").agg(F.expr(f"approx_percentile(id, array({', '.join(str(k / wanted) for k in range(1, wanted))}), 100000)")).first()[0] or []))
     # ids above bounds[k - 1] and up to bounds[k] are in bucket k; rows without an id come last, so lowest
     bucket = F.when(F.col("id").isNull(), F.lit(-1))
-    bucket = bucket.otherwise(F.size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<long>"), lambda b: b < F.col("id"))) if bounds else F.lit(0))
+    bucket = bucket.otherwise(_below(F.col("id"), bounds))
     dealt = rows.withColumn("bucket", bucket)
     top = {r.bucket: r.top for r in dealt.groupBy("bucket").agg(F.max("id").alias("top")).collect()}
     order = sorted(top, reverse=True)
@@ -239,7 +253,8 @@ def compare_with_next(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             held = batch if held is None else pa.concat_batches([held, batch])
             while held.num_rows > 1:
-                part = held.slice(0, _ROWS + 1)
+                size = pc.cumulative_sum(pc.fill_null(pc.binary_length(held.column(3)), 0).cast(pa.int64())).to_numpy()
+                part = held.slice(0, max(2, int(np.searchsorted(size, _BYTES)) + 1))
                 texts = part.column(3).to_pylist()
                 # an edge row ends its range and is no row of its own
                 own = [k for k, edge in enumerate(part.column(1).to_pylist()[:-1]) if not edge]
