@@ -127,7 +127,7 @@ def fit(docs: DataFrame, labelled: DataFrame, domains: Sequence[str], *, id_col:
     known = labelled.select(F.col(id_col).alias("_id"), "domain").where(F.col("domain").isin(list(domains)) & F.col("_id").isNotNull())
     sample = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id", "domain").limit(sample_rows))
     joined = docs.select(id_col, F.col(text_col).alias("_text")).join(sample, F.col(id_col) == F.col("_id"))
-    rows = joined.orderBy(F.xxhash64("_id", "_text"), "_id", "_text", "domain").limit(sample_rows)
+    rows = shared.sampled(joined, sample_rows, "_id", "_text", "domain")
     described = shared.written(_describe(rows, "_text").select("domain", F.concat("_kinds", "_marks").alias("features")), "sample")
     counted = described.select("domain", F.explode("features").alias("feature")).groupBy("feature")
     counts = shared.written(counted.agg(*(F.count_if(F.col("domain") == d).alias(f"n{k}") for k, d in enumerate(domains))), "features")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import kernels
+from tidemark.llm import kernels, shared
 
 #: Most labelled rows that the trees are fitted on.
 SAMPLE_ROWS = 20_000
@@ -184,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     known = known.where("_id is not null and _y in (0, 1)").where(_crc_mod("_id", 3) != 1)
     sample = F.broadcast(known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample_rows))  # 12 bytes a row
-    rows = docs.select(id_col, text_col).join(sample, F.col(id_col) == F.col("_id")).select("_y", text_col)
+    joined = docs.select(id_col, F.col(text_col).alias("_text")).join(sample, F.col(id_col) == F.col("_id")).select("_id", "_y", "_text")
+    rows = shared.sampled(joined, sample_rows, "_id", "_text", "_y").select("_y", "_text")  # where ids repeat
     names = ", ".join(f"s{k} float" for k in range(len(STATISTICS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x = statistics(kernels.texts_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in x.T)], names=["y", *(f"s{k}" for k in range(x.shape[1]))])
 
-    got = np.array(sorted(tuple(r) for r in rows.mapInArrow(kernels.freed(run), f"y int, {names}").limit(4 * sample_rows).collect()), np.float64)
+    got = np.array(sorted(tuple(r) for r in rows.mapInArrow(kernels.freed(run), f"y int, {names}").collect()), np.float64)
     if not len(got):
         return fit_trees(np.zeros((0, len(STATISTICS))), np.zeros(0))
     return fit_trees(got[:, 1:].astype(np.float32), got[:, 0])
