@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidemark.llm import simhash_dedup as S
@@ -102,3 +103,33 @@ def test_keep_one_and_empty(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, None]
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_keep_one_names_and_ids(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 0, "x", 1), (2, text, 0, "y", 2), (3, None, 1, None, None), (None, text, 2, "z", 3), (4, text + " eleven", 3, "w", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _id string, node long")
+    kept = S.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r._gone) for r in kept.collect()) == [("1", 0), ("3", 1), ("None", 2)]
+    with pytest.raises(TypeError):
+        S.keep_one(spark.createDataFrame([("a", text)], "doc_id string, text string"))
+
+
+def test_near_copies_with_long_passages_changed(spark):
+    """Copies with a passage appended, cut off or replaced, at similarity 0.8 and more: none is missed."""
+    rng = np.random.default_rng(21)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    rows, groups = [], []
+    for g in range(60):
+        base = some(200)
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(base + some(40))), (3 * g + 2, " ".join(base[:170] + some(10)))]
+    kept = {r.doc_id for r in S.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def grams(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = {d: grams(t) for d, t in rows}
+    near = [d for d in sets if d % 3 and len(sets[d] & sets[d - d % 3]) >= 0.8 * len(sets[d] | sets[d - d % 3])]
+    assert len(near) > 50 and not set(near) & kept and {3 * g for g in range(60)} <= kept

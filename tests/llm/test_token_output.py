@@ -41,3 +41,30 @@ def test_grammar_is_exact_and_random_access():
 
 def test_empty(spark):
     assert T.token_rows(spark.createDataFrame([], SCHEMA), T.default_tokenizer()).count() == 0
+
+
+def test_one_id_on_all_rows(spark):
+    coder = T.encoder(T.default_tokenizer())
+    for name in (7, None):
+        texts = sorted(f"text number {k % 40} of one id" for k in range(300))
+        df = spark.createDataFrame([(name, t) for t in texts], "doc_id long, text string").repartition(6)
+        got = sorted(T.token_rows(df, T.default_tokenizer()).collect(), key=lambda r: r.start)
+        want = [[*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+        assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in got] == [(name, len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
+def test_pieces_match_the_library():
+    """Random texts of marks, letters, breaks and special tokens, with the table shrunk and forgotten in between."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "B", "é", "×", "ñ", "日", "😀", ".", ",", "\n", " ", "  ", "\t", "'s", "1", "_", "##", "　", "\xa0", "\x85", "<|", "<|endoftext|>", ".\n", "Ġ", "́", "-", "'", "A.\nB", "\x01", "\x00", "µ", "12", "!!"]
+    coder = T.encoder(T.default_tokenizer())
+    for k in range(40):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(150)]
+        if k % 10 == 3:
+            coder.forget()
+        if k % 7 == 3:
+            coder._shrink()
+        ids, sizes = coder.encode([t.encode() for t in texts])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*e.ids, 0] for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -38,8 +38,8 @@ BLOCK_TOKENS = 1 << 19
 #: A round replaces all pairs that are at least a SHARE-th as frequent as the most frequent one.
 SHARE = 32
 LEAST_PAIRS = 8
-#: Half of the slots of a worker's table of pieces; when it is three quarters full, rare pieces are forgotten.
-CACHE_PIECES = 1 << 20
+#: Pieces that a worker's table may hold; beyond that, and between tasks, rare pieces are forgotten.
+CACHE_PIECES = 700_000
 #: Bytes of texts that are tokenised together, and new pieces that the library gets in one text.
 PORTION_BYTES = 1 << 20
 PIECES_A_CALL = 1024
@@ -62,12 +62,17 @@ _BYTE_VALUES = np.random.default_rng(77).integers(1, 1 << 63, (2, 256), dtype=np
 class _Table:
     """Numbers of 128-bit keys, in the order in which they came: open addressing over numpy arrays."""
 
-    def __init__(self, slots: int):
+    def __init__(self, slots: int = 1 << 16):
         self.mask = slots - 1
         self.keys = np.zeros((2, slots), np.uint64)
         self.number = np.full(slots, _NEW, np.int32)
         self.used = 0
 
+    def in_order(self) -> np.ndarray:
+        """All keys, as they are numbered."""
+        slots = np.flatnonzero(self.number >= 0)
+        return self.keys[:, slots[np.argsort(self.number[slots])]]
+
     def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The number of each key, or -1."""
         out = np.full(len(a), _NEW, np.int32)
@@ -81,7 +86,11 @@ class _Table:
         return out
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Number distinct keys that are not in the table."""
+        """Number distinct keys that are not in the table, which grows to twice as many slots as keys at least."""
+        if 2 * (self.used + len(a)) > self.mask + 1:
+            known = self.in_order()
+            self.__init__(1 << int(2 * (self.used + len(a))).bit_length())
+            self.add(*known)
         left, slot = np.arange(len(a)), (a & np.uint64(self.mask)).astype(np.int64)
         while len(left):
             free = np.flatnonzero(self.number[slot] < 0)
@@ -128,7 +137,7 @@ class Encoder:
             self.cuts_hold = False  # another pattern: texts are tokenised whole
 
     def forget(self) -> None:
-        self.table = _Table(2 * CACHE_PIECES)
+        self.table = _Table()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.length, self.uses = (np.zeros(1 << 15, np.int32) for _ in range(3))
 
@@ -202,9 +211,7 @@ class Encoder:
         kept = np.flatnonzero(self.uses[: self.table.used] > 2)
         if len(kept) > CACHE_PIECES // 2:
             return self.forget()
-        slots = np.flatnonzero(self.table.number >= 0)
-        by_number = slots[np.argsort(self.table.number[slots])][kept]
-        keys, length, at, uses = self.table.keys[:, by_number], self.length[kept], self.at[kept], self.uses[kept]
+        keys, length, at, uses = self.table.in_order()[:, kept], self.length[kept], self.at[kept], self.uses[kept]
         flat = self.flat[_ranges(at.astype(np.int64), np.maximum(length, 0).astype(np.int64))]
         self.forget()
         self.table.add(*keys)
@@ -214,7 +221,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has, the end id included."""
-        if self.table.used > CACHE_PIECES * 3 // 4:
+        if self.table.used > CACHE_PIECES:
             self._shrink()
         if not self.cuts_hold:
             known = self._whole([t.decode() for t in texts])
@@ -473,6 +480,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, *, id_col: str
                     ids, sizes, names = [], [], []
         if held:
             yield block()
+        coder._shrink()  # the worker lives on
 
     schema = f"shard long, block long, start long, n_tokens long, doc_ids array<{kind}>, doc_tokens array<long>, grammar binary"
     ordered.mapInArrow(kernels.freed(run), schema).write.mode("overwrite").parquet(path)
