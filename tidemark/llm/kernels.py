@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import suppress
-from functools import lru_cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -55,15 +55,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(4)
+_tables: list[np.ndarray] = []
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_MULT, -1, 1 << 64)
-    out = []
-    for base in (_MULT, inverse):
-        a = np.full(n, base, np.uint64)
-        a[0] = 1
-        out.append(np.multiply.accumulate(a))
-    return out[0], out[1]
+    """``n`` powers of the multiplier and of its inverse; a worker keeps the largest table that it has needed."""
+    if not _tables or len(_tables[0]) < n:
+        _tables.clear()
+        for base in (_MULT, pow(_MULT, -1, 1 << 64)):
+            a = np.full(n, base, np.uint64)
+            a[0] = 1
+            _tables.append(np.multiply.accumulate(a))
+    return _tables[0][:n], _tables[1][:n]
 
 
 def powers(size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,6 +63,13 @@ def delete(spark: SparkSession, path: str) -> None:
     _written[:] = [x for x in _written if x[1] != path]
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send 2,000 whole documents a batch to Python where the session leaves Spark's 10,000 rows, which bounds memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, "2000")
+
+
 def sampled(rows: DataFrame, most: int, *columns: str) -> DataFrame:
     """The ``most`` rows with the least hashes of some columns; rows that are equal in those stay together.
 

@@ -41,7 +41,7 @@ LEAST_PAIRS = 8
 #: Pieces that a worker's table may hold; beyond that, and between tasks, rare pieces are forgotten.
 CACHE_PIECES = 700_000
 #: Bytes of texts that are tokenised together, and new pieces that the library gets in one text.
-PORTION_BYTES = 1 << 20
+PORTION_BYTES = kernels.BLOCK_BYTES
 PIECES_A_CALL = 1024
 _NEW = -1
 _ODD = -1
