@@ -2,6 +2,7 @@
 
 import inspect
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -86,6 +87,34 @@ def test_empty(spark):
     assert L.score(some, L.train(docs), F.lit(False)).first().score == 0.0
 
 
+def test_frequent_contexts_stay_out_of_the_driver(spark, monkeypatch):
+    """They grow with the square of the number of buckets; many files of them give the same scores."""
+    monkeypatch.setattr(L, "BUCKET_TOKENS", 1 << 10)
+    if hasattr(L, "CONTEXT_BYTES"):
+        monkeypatch.setattr(L, "CONTEXT_BYTES", 1 << 14)
+    rng = np.random.default_rng(0)
+    data = [(k, " ".join(f"w{j}" for j in rng.integers(0, 40, 600)), None) for k in range(100)]
+    docs = spark.createDataFrame(data, SCHEMA).repartition(4)
+    got_by_driver, collect = [], type(docs).collect
+
+    def counted(df):
+        rows = collect(df)
+        got_by_driver.append(sum(len(v) for r in rows for v in r if isinstance(v, (bytes, bytearray))))
+        return rows
+
+    with monkeypatch.context() as m:
+        m.setattr(type(docs), "collect", counted)
+        model = L.train(docs)
+    assert model.buckets == 64
+    assert sum(got_by_driver) < 20_000
+    assert len(pickle.dumps(model)) < 4_000
+    p = brute([t for _, t, _ in data], 3)
+    some = [r for r in L.score(docs, model, F.lit(False)).collect() if r.doc_id < 5]
+    for r in some:
+        line = ["<s>", "<s>", *tokens(data[r.doc_id][1])]
+        assert r.score == pytest.approx(sum(math.log10(p(tuple(line[i - 2 : i + 1]))) for i in range(2, len(line))), rel=1e-9)
+
+
 def test_query_learns_trigrams():
     assert inspect.signature(L.train).parameters["order"].default == 3
 

@@ -5,7 +5,8 @@ n-grams of a portion of text with numpy and send them on as compressed columns,
 of contexts; a task for each bucket adds them up and writes sorted arrays of n-gram hashes with counts,
 and of context hashes with totals, to the shared folder. There are as many buckets as keep each at about
 ``BUCKET_TOKENS`` tokens of text. Contexts with a large share of the corpus are spread over all buckets by the
-whole n-gram. The next lower order counts in how many distinct longer n-grams each shorter one occurs.
+whole n-gram; their totals are added up by tasks and mapped like the rest, so the driver gets a few numbers a bucket.
+The next lower order counts in how many distinct longer n-grams each shorter one occurs.
 Scoring maps the arrays into memory and looks up each distinct n-gram of a portion of text once.
 
 An array holds of each hash the 32 bits below those that number its segment of about eight hashes, and of its
@@ -37,11 +38,14 @@ ORDER = 3
 PORTION = 1_500_000
 #: Tokens of the corpus for each bucket.
 BUCKET_TOKENS = 1 << 20
+#: Packed totals of frequent contexts, in bytes, that a task adds up.
+CONTEXT_BYTES = 8 << 20
 #: Bytes of text that are scored together.
 SCORE_BYTES = 4 << 20
 _END_HASH = np.uint64(0x0123456789ABCDEF)
 _CHAIN = np.uint64(0xA24BAED4963EE407)
 _HEAD = struct.Struct("<II")
+_zip, _unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 _maps: dict[str, np.ndarray] = {}
 _tables: dict[str, Table] = {}
 
@@ -52,17 +56,28 @@ def _pack(ids: np.ndarray, counts: np.ndarray) -> bytes:
     if counts.max(initial=0) > 0xFFFFFFFF:
         raise ValueError("a task has counted an n-gram over 2 ** 32 times")
     planes.append(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-    return _HEAD.pack(*ids.shape) + zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return _HEAD.pack(*ids.shape) + _zip.compress(b"".join(planes))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n, k = _HEAD.unpack_from(blob)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[_HEAD.size :]), np.uint8).reshape(k + 1, 4, n)
+    raw = np.frombuffer(_unzip.decompress(blob[_HEAD.size :]), np.uint8).reshape(k + 1, 4, n)
     values = [np.ascontiguousarray(p.T).view("<i4").ravel() for p in raw]
     ids = np.stack([np.cumsum(v, dtype=np.int64).astype(np.uint32) for v in values[:k]], axis=1)
     return ids, values[k].view("<u4").astype(np.int64)
 
 
+def _pack_contexts(keys: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Hashes and rows of four numbers, byte planes of each compressed together."""
+    rows = np.concatenate((keys.astype("<u8").view("<i8")[:, None], numbers), axis=1).astype("<i8")
+    return _zip.compress(np.ascontiguousarray(rows).view(np.uint8).T.tobytes())
+
+
+def _unpack_contexts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows = np.ascontiguousarray(np.frombuffer(_unzip.decompress(blob), np.uint8).reshape(40, -1).T).view("<i8")
+    return np.ascontiguousarray(rows[:, 0]).view("<u8"), rows[:, 1:]
+
+
 def gram_keys(ids: np.ndarray) -> np.ndarray:
     """64-bit hash of each row of ids; a row without columns has hash 0."""
     key = np.zeros(len(ids), np.uint64)
@@ -180,7 +195,7 @@ class Model:
     tokens: int
     hot_count: int
     discounts: list[tuple[float, float, float]] = field(default_factory=list)  # by order
-    hot: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # by order: sorted hashes and numbers of frequent contexts
+    hot_groups: list[int] = field(default_factory=list)  # by order: the files that hold the numbers of frequent contexts
 
     @property
     def words(self) -> int:
@@ -366,7 +381,7 @@ def _add_grams(rows: DataFrame, model: Model, size: int) -> DataFrame:
             every_counts.append(counts)
             keys, numbers = _context_numbers(gram_keys(ids[:, :-1]), counts)
             if kind == "hot":
-                parts.append(("contexts", b, keys.astype("<u8").tobytes() + numbers.astype("<i8").tobytes()))
+                parts.append(("contexts", b, _pack_contexts(keys, numbers)))
             else:
                 shared.put_file(f"{model.path}/contexts{size}/{b}", table_bytes(keys, numbers))
         ids, counts = np.concatenate(every_ids), np.concatenate(every_counts)
@@ -386,6 +401,43 @@ def _add_grams(rows: DataFrame, model: Model, size: int) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(add, _SCHEMA)
 
 
+def _add_contexts(rows: DataFrame, model: Model, size: int, groups: int) -> DataFrame:
+    """Arrays of the frequent contexts of n-grams of ``size`` words, whose totals the buckets have in part."""
+
+    def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, numbers = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return keys[new], np.add.reduceat(numbers[order], new)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            keys, numbers = summed(parts)
+            group = keys & np.uint64(groups - 1)
+            return _rows([("contexts", g, _pack_contexts(keys[own], numbers[own])) for g in range(groups) if len(own := np.flatnonzero(group == np.uint64(g)))])
+
+        for batch in batches:
+            for data in batch.column("data"):
+                parts.append(_unpack_contexts(data.as_py()))
+                held += len(parts[-1][0])
+                if held > PORTION // 4:  # a row is four times as wide as an n-gram's
+                    yield flush()
+                    parts, held = [], 0
+        if parts:
+            yield flush()
+
+    def add(table: pa.Table) -> pa.Table:
+        keys, numbers = summed([_unpack_contexts(d) for d in table.column("data").to_pylist()])
+        g = table.column("bucket")[0].as_py()
+        shared.put_file(f"{model.path}/hot{size}/{g}", table_bytes(keys, numbers))
+        return pa.Table.from_batches([_rows([("contexts", g, b"")])])
+
+    return rows.mapInArrow(kernels.freed(split), _SCHEMA).groupBy("bucket").applyInArrow(add, _SCHEMA)
+
+
 def _discounts(of: np.ndarray) -> tuple[float, float, float]:
     n1, n2, n3, n4 = (float(x) for x in of)
     if not (n1 and n2 and n3):
@@ -406,7 +458,7 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
     offsets = np.concatenate(([0], np.cumsum([sizes.get(b, none)[0] for b in range(words)])))
     tokens = int(sum(s[1] for s in sizes.values()))
     buckets = 1 << max(3, (tokens // BUCKET_TOKENS).bit_length())
-    # of contexts this frequent there are at most 4 x buckets x (order - 1)
+    # a context is at most as frequent as the rarest of its words
     model = Model(path, order, words, buckets, offsets.astype(np.int64), tokens, max(tokens // (4 * buckets), 1000))
     found = {}
     rows = _count_grams(texts, model)
@@ -416,24 +468,20 @@ def train(docs: DataFrame, *, text_col: str = "text", order: int = ORDER) -> Mod
             shared.drop(rows)
         rows = None
         shared.sweep(spark)  # the shuffle files of this order
-        few = out.where("kind in ('of', 'contexts')").collect()
+        # the driver gets the numbers that discounts follow from, and how large the packed contexts are
+        few = out.where("kind in ('of', 'contexts')").select("kind", F.expr("if(kind = 'of', data, null)").alias("data"), F.length("data").alias("size")).collect()
         of = sum((np.frombuffer(r.data, "<i8") for r in few if r.kind == "of"), np.zeros(4, np.int64))
-        keys, numbers = [np.zeros(0, np.uint64)], [np.zeros((0, 4), np.int64)]
-        for r in few:
-            if r.kind == "contexts":
-                n = len(r.data) // 40
-                keys.append(np.frombuffer(r.data, "<u8", n))
-                numbers.append(np.frombuffer(r.data, "<i8", 4 * n, 8 * n).reshape(n, 4))
-        kinds, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros((len(kinds), 4), np.int64)
-        np.add.at(total, place, np.concatenate(numbers))
-        found[size] = (_discounts(of), (kinds, total))
+        held = sum(r.size for r in few if r.kind == "contexts")
+        groups = 1 << (held // CONTEXT_BYTES).bit_length()
+        if held:
+            _add_contexts(out.where("kind = 'contexts'"), model, size, groups).count()
+        found[size] = (_discounts(of), groups)
         rows = out.where("kind in ('grams', 'hot')")
         rows.__dict__["shared_path"] = out.__dict__["shared_path"]
     shared.drop(rows)
     for size in range(1, order + 1):
         model.discounts.append(found[size][0])
-        model.hot.append(found[size][1])
+        model.hot_groups.append(found[size][1])
     return model
 
 
@@ -445,11 +493,14 @@ def probabilities(model: Model, ids: np.ndarray, least: np.ndarray) -> np.ndarra
         hot = np.ones(len(own), bool) if size == 1 else least > model.hot_count if size == model.order else np.zeros(len(own), bool)
         context, key = gram_keys(own[:, :-1]), gram_keys(own)
         numbers, count = np.zeros((len(own), 4), np.int64), np.zeros(len(own), np.int64)
-        kinds, totals = model.hot[size - 1]
-        if len(kinds):
-            at = np.minimum(np.searchsorted(kinds, context), len(kinds) - 1)
-            some = hot & (kinds[at] == context)
-            numbers[some] = totals[at[some]]
+        if size == 1:  # one context
+            numbers[:] = model.table("hot1/0").look(context[:1])
+        elif size == model.order:
+            which = np.flatnonzero(hot)
+            group = context[which] & np.uint64(model.hot_groups[size - 1] - 1)
+            for g in range(model.hot_groups[size - 1]):
+                part = which[group == np.uint64(g)]
+                numbers[part] = model.table(f"hot{size}/{g}").look(context[part])
         bucket = model.bucket_of_keys(np.where(hot, key, context))
         order = np.argsort(bucket, kind="stable")
         cut = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
@@ -469,7 +520,7 @@ def probabilities(model: Model, ids: np.ndarray, least: np.ndarray) -> np.ndarra
 
 def score(docs: DataFrame, model: Model, held_out, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a bucket, and the frequent contexts
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # a few numbers a bucket
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
