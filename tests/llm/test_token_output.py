@@ -68,3 +68,23 @@ def test_pieces_match_the_library():
             coder._shrink()
         ids, sizes = coder.encode([t.encode() for t in texts])
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*e.ids, 0] for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_short_pieces_are_their_own_keys(monkeypatch):
+    """Only the bytes of pieces over 16 bytes are hashed; pieces alike but for a byte, or a length, differ."""
+    asked, powers = [], T.kernels.powers
+    monkeypatch.setattr(T.kernels, "powers", lambda n: asked.append(n) or powers(n))
+    coder = T.Encoder(T.default_tokenizer())
+    asked.clear()
+    sizes = (1, 7, 8, 9, 15, 16, 17, 24, 33)
+    texts = [" ".join(p for n in sizes for p in (c * n, c * (n - 1) + "b", "b" + c * (n - 1))) for c in ("a", "\x00", "é", "#", "5")]
+    texts += ["all of these are short words of a text " * 500]
+    ids, counts = coder.encode([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [[*e.ids, 0] for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert max(asked) < sum(map(len, texts)) / 10
+    raw = np.frombuffer(bytes(range(97, 113)) * 64 + b"\0" * 16, np.uint8)
+    begins, ends = (x.ravel() for x in np.meshgrid(np.arange(16), np.arange(17)))
+    ends = begins + ends
+    keys = coder._keys(raw, np.tile(begins, 2), np.tile(ends, 2), np.repeat([True, False], len(begins)))
+    want = {(raw[a:b].tobytes(), f) for f in (True, False) for a, b in zip(begins, ends)}
+    assert len(set(zip(*(k.tolist() for k in keys)))) == len(want)

@@ -57,6 +57,10 @@ _MARK[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'<"]
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _BYTE_VALUES = np.random.default_rng(77).integers(1, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Keeps so many of the first 16 bytes, in two numbers.
+_FIRST_BYTES = (np.arange(16) < np.arange(17)[:, None]).astype(np.uint8).__mul__(255).view("<u8")
+#: Odd on the diagonal, even above it, so that no two pairs of numbers give the same pair.
+_FACTORS = _BYTE_VALUES[:, :2] - np.array([[0, 1], [0, 0]], np.uint64)
 
 
 class _Table:
@@ -172,10 +176,11 @@ class Encoder:
         while len(self.at) < n:
             self.at, self.length, self.uses = (np.concatenate((x, np.zeros(max(len(x), 1 << 15), np.int32))) for x in (self.at, self.length, self.uses))
         size = end - start
-        plain = np.zeros(len(start), bool)
-        for flags in (letter, _DIGIT[raw], _MARK[raw]):
-            sums = np.concatenate(([0], np.cumsum(flags, dtype=np.int32)))
-            plain |= sums[end] - sums[start] == size
+        plain, some = np.zeros(len(start), bool), np.flatnonzero(size)
+        if len(some):  # the kinds of characters that all bytes of a piece have
+            at = _ranges(start[some], size[some])
+            kinds = letter[at].view(np.uint8) | _DIGIT[raw[at]].view(np.uint8) << 1 | _MARK[raw[at]].view(np.uint8) << 2
+            plain[some] = np.bitwise_and.reduceat(kinds, np.cumsum(size[some]) - size[some]) > 0
         line = np.append(raw, 0)[start] == 10  # between lines
         plain = (plain | (line & (size == 1) & bare)) & (size > 0)
         for after_space in (True, False):
@@ -286,14 +291,21 @@ class Encoder:
     @staticmethod
     def _keys(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each piece."""
-        up, down = kernels.powers(len(raw) + 1)
-        out = []
-        for values in _BYTE_VALUES:
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(values[raw] * up[: len(raw)], out=sums[1:])
-            own = (sums[ends] - sums[begins]) * down[begins] + ((ends - begins) * 2 + first).astype(np.uint64)
-            out.append(kernels.mix(own))
-        return out[0], out[1]
+        size = ends - begins
+        rows = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(16, np.uint8))), 16)[begins].view("<u8")
+        rows &= _FIRST_BYTES[np.minimum(size, 16)]
+        long = np.flatnonzero(size > 16)  # the others are their own bytes
+        if len(long):
+            flat, stop = raw[_ranges(begins[long], size[long])], np.cumsum(size[long])
+            start = stop - size[long]
+            up, down = kernels.powers(len(flat) + 1)
+            for k, values in enumerate(_BYTE_VALUES):
+                sums = np.zeros(len(flat) + 1, np.uint64)
+                np.cumsum(values[flat] * up[: len(flat)], out=sums[1:])
+                rows[long, k] = (sums[stop] - sums[start]) * down[start]
+        kind = (size * 2 + first).astype(np.uint64)
+        a, b = (kernels.mix(rows[:, 0] * x + rows[:, 1] * y + kind * values[2]) for (x, y), values in zip(_FACTORS, _BYTE_VALUES))
+        return a, b
 
 
 def encoder(path: str) -> Encoder:
@@ -314,8 +326,14 @@ def repair(ids: np.ndarray, first_symbol: int, *, least: int = LEAST_PAIRS, shar
     symbol = max(first_symbol, int(ids.max(initial=0)) + 1)
     if symbol != first_symbol:
         raise ValueError("an id is not below the first nonterminal")
+    used = np.zeros(first_symbol, bool)
+    used[ids] = True
+    used = np.flatnonzero(used)  # ids are numbered by their order among these, so that most pairs fit in 32 bits
+    symbol = len(used)
     half = 16 if symbol < 1 << 16 else 32
-    sequence, rules = ids.astype(np.uint32 if half == 16 else np.uint64), []
+    place = np.zeros(first_symbol, np.uint32 if half == 16 else np.uint64)
+    place[used] = np.arange(symbol)
+    sequence, rules = place[ids], []
     while len(sequence) > 1:
         kind = sequence.dtype.type
         pairs = sequence[:-1] << kind(half) | sequence[1:]  # a pair in one number
@@ -330,34 +348,36 @@ def repair(ids: np.ndarray, first_symbol: int, *, least: int = LEAST_PAIRS, shar
             continue
         left, right = (chosen >> kind(half)).astype(np.int64), (chosen & kind((1 << half) - 1)).astype(np.int64)
         which = _rule_of(sequence, left, right, symbol)
-        at = np.flatnonzero(which)
+        at = np.flatnonzero(which != 0)
         # of neighbouring places that overlap, every other one is taken
         run = np.zeros(len(at), np.int64)
         new = np.flatnonzero(at[1:] - at[:-1] > 1) + 1
         run[new] = new
-        at = at[(np.arange(len(at)) - np.maximum.accumulate(run)) % 2 == 0]
-        sequence[at] = (symbol - 1 + which[at]).astype(kind)
+        at = at[(np.arange(len(at)) - np.maximum.accumulate(run)) & 1 == 0]
+        sequence[at] = (symbol - 1 + which[at].astype(np.int64)).astype(kind)
         keep = np.ones(len(sequence), bool)
         keep[at + 1] = False
         sequence = sequence[keep]
         rules.append(np.stack((left, right), axis=1))
         symbol += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype(np.uint32), sequence.astype(np.uint32)
+    name = np.concatenate((used, np.arange(first_symbol, first_symbol + symbol - len(used)))).astype(np.uint32)
+    return name[np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)], name[sequence]
 
 
 def _rule_of(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, symbols: int) -> np.ndarray:
     """At each place the number (from 1) of the pair that begins there, 0 for none of them."""
     rows, columns = np.unique(left), np.unique(right)
     width = len(columns) + 1
-    kind = np.int32 if (len(rows) + 1) * width < 1 << 31 else np.int64
-    row, column = np.zeros(symbols, kind), np.zeros(symbols, kind)
+    row, column = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
     row[rows], column[columns] = np.arange(1, len(rows) + 1) * width, np.arange(1, width)
-    number = np.arange(1, len(left) + 1, dtype=np.int32)
-    cell = row[sequence[:-1]] + column[sequence[1:]]
+    number = np.arange(1, len(left) + 1, dtype=np.uint16 if len(left) < 1 << 16 else np.int32)
+    at = sequence.astype(np.int64)
+    cell = row.take(at[:-1])
+    cell += column.take(at[1:])
     if (len(rows) + 1) * width <= 1 << 24:
-        table = np.zeros((len(rows) + 1) * width, np.int32)
+        table = np.zeros((len(rows) + 1) * width, number.dtype)
         table[row[left] + column[right]] = number
-        return table[cell]
+        return table.take(cell)
     wanted = row[left] + column[right]
     order = np.argsort(wanted)
     at = np.minimum(np.searchsorted(wanted[order], cell), len(order) - 1)
